@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanscope.session import ensure_checkpoint_dir
+
 LABEL, SCORE = "DefaultFlag", "PredProb"
 _BIG = "decimal(38,0)"
 
@@ -34,22 +36,30 @@ def score_histogram(sc: DataFrame, label: str = LABEL, score: str = SCORE) -> Da
                  F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("_neg")))
 
 
-def _cut_points(sc: DataFrame, score: str, buckets: int) -> list[float]:
+def _cut_points(hist: DataFrame, buckets: int) -> list[float]:
+    """Approximate quantiles of the distinct scores: ranges with similar numbers
+    of distinct values, so every within-bucket window has similar work."""
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
-    qs = sc.filter(F.col(score).isNotNull()).approxQuantile(score, probs, 1.0 / (4 * buckets))
+    qs = hist.approxQuantile("_p", probs, 1.0 / (4 * buckets))
     return sorted({float(q) for q in qs})
 
 
-def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024,
+               materialize: bool = True) -> DataFrame:
     """Distinct-score table with prefix counts.
 
     Columns: _p, _pos, _neg, _pos_below, _neg_below (rows with a strictly
-    smaller score), _tot_pos, _tot_neg (class totals).
+    smaller score), _tot_pos, _tot_neg (class totals).  With ``materialize``
+    the histogram is checkpointed, so the scored input (often a model
+    transform) is computed exactly once for the quantiles, totals and ranks.
     """
     hist = score_histogram(sc, label, score)
-    cuts = _cut_points(sc, score, buckets)
+    if materialize:
+        ensure_checkpoint_dir(sc.sparkSession)
+        hist = hist.checkpoint(eager=True)
+    cuts = _cut_points(hist, buckets)
     splits = [float("-inf")] + (cuts or [0.5]) + [float("inf")]
     hb = Bucketizer(splits=splits, inputCol="_p", outputCol="_bk", handleInvalid="keep").transform(hist)
     tot = hb.groupBy("_bk").agg(F.sum("_pos").alias("_bpos"), F.sum("_neg").alias("_bneg"))
@@ -119,15 +129,27 @@ def f1_of(precision: Column, recall: Column) -> Column:
     return F.lit(2.0) * precision * recall / (precision + recall + F.lit(1e-9))
 
 
+def _curve_points(c: DataFrame) -> DataFrame:
+    tp, fp = _tp_ge(), _fp_ge()
+    prec = F.coalesce(F.try_divide(tp.cast("double"), (tp + fp).cast("double")), F.lit(0.0))
+    rec = F.when(F.col("_tot_pos") == 0, F.lit(1.0)).otherwise(
+        F.try_divide(tp.cast("double"), F.col("_tot_pos").cast("double")))
+    return c.select(F.col("_p").alias("Threshold"), prec.alias("Precision"), rec.alias("Recall"))
+
+
+def best_f1_of(c: DataFrame) -> DataFrame:
+    """Max-F1 row of a ``cumulative`` table (lowest threshold on ties); a top-1."""
+    return (_curve_points(c).withColumn("F1", f1_of(F.col("Precision"), F.col("Recall")))
+            .orderBy(F.desc("F1"), F.asc("Threshold")).limit(1))
+
+
 def best_f1(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
     """Threshold, Precision, Recall, F1 of the maximum-F1 threshold (lowest threshold on ties).
 
     The end point (F1 = 0) only wins on an empty input, where the caller falls
     back to 0.5 (``best_threshold``).
     """
-    curve = pr_curve(sc, label, score, buckets).filter(F.col("Threshold").isNotNull())
-    return (curve.withColumn("F1", f1_of(F.col("Precision"), F.col("Recall")))
-            .orderBy(F.desc("F1"), F.asc("Threshold")).limit(1))
+    return best_f1_of(cumulative(sc, label, score, buckets))
 
 
 def best_threshold_column(sc: DataFrame, label: str = LABEL, score: str = SCORE, default: float = 0.5) -> Column:
@@ -230,14 +252,17 @@ def calibration(sc: DataFrame, bins: int = 10, label: str = LABEL, score: str =
             .orderBy("Bin"))
 
 
-def eval_summary(sc: DataFrame, threshold: float | Column, model: str, population: DataFrame | None = None,
+def eval_summary(sc: DataFrame, threshold: float | Column | None, model: str, population: DataFrame | None = None,
                  label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
     """Model, ROC_AUC, AvgPrecision_PR_AUC, Precision, Recall, Accuracy, DefaultRate, TestSize, Threshold.
 
-    One aggregate over the distinct-score table; DefaultRate is the label mean
-    of ``population`` (default: ``sc``), taken as an uncorrelated scalar subquery.
+    One aggregate over the distinct-score table; the threshold defaults to the
+    max-F1 threshold of that same table (a scalar subquery, 0.5 when empty);
+    DefaultRate is the label mean of ``population`` (default: ``sc``).
     """
     c = cumulative(sc, label, score, buckets)
+    if threshold is None:
+        threshold = F.coalesce(best_f1_of(c).select("Threshold").scalar(), F.lit(0.5))
     t = _thr(threshold)
     tp = F.sum(F.when(F.col("_p") >= t, F.col("_pos")).otherwise(0))
     fp = F.sum(F.when(F.col("_p") >= t, F.col("_neg")).otherwise(0))

@@ -15,14 +15,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.columns import int_div, portable_hash
+from loanscope.session import ensure_checkpoint_dir
 
 _M = 2147483647
 
 
-def class_rank(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int = 4096) -> DataFrame:
-    """df + _rank (1-based within label, hash order) + _n_label (class size)."""
+def class_rank(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int = 4096,
+               materialize: bool = True) -> DataFrame:
+    """df + _rank (1-based within label, hash order) + _n_label (class size).
+
+    The input is read twice (counts, then ranks); with ``materialize`` it is
+    checkpointed once to the shared checkpoint folder so an expensive upstream
+    pipeline (the feature table) runs once and a lost executor re-reads the
+    checkpoint instead of recomputing the lineage."""
     x = (df.withColumn("_h", portable_hash(key, seed))
          .withColumn("_b", int_div(F.col("_h") * F.lit(buckets), F.lit(_M))))
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        x = x.checkpoint(eager=True)
     counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -36,17 +46,17 @@ def class_rank(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int
 
 
 def stratified_split(df: DataFrame, label: str = "DefaultFlag", key: str = "LoanID", test: float = 0.2,
-                     seed: int = 42, buckets: int = 4096) -> DataFrame:
+                     seed: int = 42, buckets: int = 4096, materialize: bool = True) -> DataFrame:
     """df + IsTest (0/1): per class, the first ceil(test * n_class) rows in hash order."""
-    r = class_rank(df, label, key, seed, buckets)
+    r = class_rank(df, label, key, seed, buckets, materialize)
     need = F.ceil(F.col("_n_label").cast("double") * F.lit(float(test)))
     return r.withColumn("IsTest", (F.col("_rank") <= need).cast("int")).drop("_rank", "_n_label", "_h")
 
 
 def add_folds(df: DataFrame, label: str = "DefaultFlag", key: str = "LoanID", k: int = 3,
-              seed: int = 42, buckets: int = 4096) -> DataFrame:
+              seed: int = 42, buckets: int = 4096, materialize: bool = True) -> DataFrame:
     """df + fold in [0, k): stratified round-robin over the hash order of each class."""
-    r = class_rank(df, label, key, seed + 1, buckets)
+    r = class_rank(df, label, key, seed + 1, buckets, materialize)
     return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n_label", "_h")
 
 

@@ -19,12 +19,13 @@ from loanscope.operators import risk as R
 from loanscope.operators import sampling as S
 from loanscope.operators import upsert as U
 from loanscope.plans.portable import portable
-from loanscope.session import scratch_path
+from loanscope.session import ensure_checkpoint_dir, scratch_path
 from loanscope.sources import readers, schemas
 from loanscope.sources.fixtures import AS_OF, LoanBook, load_book
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+REGISTRY_RAW: dict[str, Callable[[SparkSession, LoanBook], DataFrame]] = {}
 
 # Parameters of the registered queries.
 LGD = 0.6
@@ -40,10 +41,12 @@ SAMPLE_N = 1000
 def register(name: str):
     def deco(fn: Callable[[SparkSession, LoanBook], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
             return portable(fn(spark, load_book(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
+        REGISTRY_RAW[name] = fn
         return run
     return deco
 
@@ -55,6 +58,7 @@ def base(b: LoanBook) -> DataFrame:
 
 
 def split(b: LoanBook) -> DataFrame:
+    """Base table + IsTest; the base table is checkpointed once by the split."""
     return S.stratified_split(base(b), "DefaultFlag", "LoanID", 0.2, 42)
 
 
@@ -367,7 +371,7 @@ def _e8(spark, b):
 
 @register("e9_eval_summary")
 def _e9(spark, b):
-    s = E.eval_summary(b.scored, best_t(b), "Scorecard")
+    s = E.eval_summary(b.scored, None, "Scorecard")
     return s.withColumn("AvgPrecision_PR_AUC", F.round("AvgPrecision_PR_AUC", 12))
 
 
@@ -465,10 +469,191 @@ def score_rows(sb: DataFrame, threshold: float) -> DataFrame:
 @register("k2_upsert_scores")
 def _k2(spark, b):
     """Scores of the pre-1998 book (earlier run) merged with a re-score of loans from 1997 on."""
-    sb = scored_base(b)
+    sb = scored_base(b).checkpoint(eager=True)  # read by both sides of the merge
     target = U.with_load_timestamp(
         score_rows(sb.filter(F.col("OriginationDate") < F.lit(TARGET_BEFORE).cast("date")), PRIOR_THRESHOLD),
         "ScoreDate", PRIOR_SCORE_TS)
     target = readers.as_table(target, schemas.SCORES)
     updates = score_rows(sb.filter(F.col("OriginationDate") >= F.lit(UPDATES_FROM).cast("date")), NEW_THRESHOLD)
     return U.upsert_scores(target, updates, UPSERT_TS)
+
+
+# ---- models (pyspark.ml) ---------------------------------------------------------------------------
+# Fitted models are cached per (session, sf_dir) so the model-based entries
+# share one fit each; every fit is seeded, so the cache never changes results.
+
+from loanscope.operators import explain as X  # noqa: E402
+from loanscope.operators import models as M  # noqa: E402
+from loanscope.sources import sinks  # noqa: E402
+
+# Registered model settings (a point of the search grid, and a small search).
+FOREST = {"num_trees": 200, "max_depth": 6, "min_instances": 1, "subset": "sqrt"}
+SEARCH_N_ITER = 2
+SEARCH_FOLDS = 3
+_CACHE: dict[tuple, object] = {}
+
+
+def _cached(spark: SparkSession, b: LoanBook, name: str, build):
+    key = (id(spark), name, tuple(sorted(b.loans.inputFiles())))
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
+def training_frame(spark: SparkSession, b: LoanBook) -> tuple[DataFrame, list[str]]:
+    """Feature table + IsTest + one-hot columns (non-leaky feature list), checkpointed once."""
+    def build():
+        f = FT.add_features(split(b), AS_OF)
+        enc, names = FT.one_hot(f, FT.fit_levels(f))
+        return enc.checkpoint(eager=True), FT.feature_columns(enc, names, drop_leaky=True)
+    return _cached(spark, b, "training_frame", build)
+
+
+def _train_weighted(spark, b) -> DataFrame:
+    enc, _ = training_frame(spark, b)
+    return M.balanced_weights(enc.filter("IsTest = 0"))
+
+
+def logistic(spark, b) -> M.Fitted:
+    return _cached(spark, b, "logistic", lambda: M.train_logistic(_train_weighted(spark, b), training_frame(spark, b)[1]))
+
+
+def forest(spark, b) -> M.Fitted:
+    return _cached(spark, b, "forest", lambda: M.train_forest(
+        _train_weighted(spark, b), training_frame(spark, b)[1], **FOREST))
+
+
+def _test(spark, b) -> DataFrame:
+    return training_frame(spark, b)[0].filter("IsTest = 1")
+
+
+@register("m2_standardize")
+def _m2(spark, b):
+    """Numeric features standardised with training-split mean and population std."""
+    f = FT.add_features(split(b), AS_OF)
+    cols = FT.NUMERIC_FEATURES
+    stats = M.fit_standardizer(f.filter("IsTest = 0"), cols)
+    out = M.standardize(f.select("LoanID", *cols), stats)
+    return out.select("LoanID", *[F.round(c, 9).alias(c) for c in cols])
+
+
+@register("m3_balanced_weights")
+def _m3(spark, b):
+    """Training rows with weight n / (2 n_class)."""
+    return M.balanced_weights(split(b).filter("IsTest = 0").select("LoanID", "DefaultFlag"))
+
+
+@register("m4_logistic_scores")
+def _m4(spark, b):
+    return M.score(logistic(spark, b), _test(spark, b), 0.5)
+
+
+@register("m5_forest_scores")
+def _m5(spark, b):
+    return M.score(forest(spark, b), _test(spark, b), 0.5)
+
+
+@register("m6_random_search")
+def _m6(spark, b):
+    """Params, AvgAUC of the sampled grid points (stratified folds), best first."""
+    def build():
+        train = S.add_folds(_train_weighted(spark, b), k=SEARCH_FOLDS)
+        best, results = M.random_search(train, training_frame(spark, b)[1], n_iter=SEARCH_N_ITER)
+        return best, results
+    best, results = _cached(spark, b, "search", build)
+    rows = [(str(sorted(p.items())), auc) for p, auc in results]
+    return spark.createDataFrame(rows, "Params string, AvgAUC double").orderBy(F.desc("AvgAUC"), "Params")
+
+
+@register("m9_importances")
+def _m9(spark, b):
+    return M.top_features(M.importances(forest(spark, b), spark), 20)
+
+
+@register("m10_score_all")
+def _m10(spark, b):
+    """Every loan scored by the chosen model: the PredictedLoanScores rows."""
+    enc, _ = training_frame(spark, b)
+    sc = M.score(forest(spark, b), enc, 0.5, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount"])
+    return U.with_load_timestamp(sc, "ScoreDate", UPSERT_TS)
+
+
+@register("m11_model_comparison")
+def _m11(spark, b):
+    test = _test(spark, b)
+    return M.model_comparison({"LogisticRegression": M.score(logistic(spark, b), test),
+                               "RandomForest": M.score(forest(spark, b), test)})
+
+
+@register("k6_model_roundtrip")
+def _k6(spark, b):
+    """Forest saved to the shared folder, loaded back, test rows rescored."""
+    fitted = forest(spark, b)
+    path = scratch_path(spark, "model")
+    sinks.save_model(fitted.model, path)
+    loaded = M.Fitted(sinks.load_model(path), fitted.features, fitted.name)
+    return M.score(loaded, _test(spark, b), 0.5)
+
+
+@register("k1_ensure_score_table")
+def _k1(spark, b):
+    """The typed, empty score table created when absent (read back)."""
+    root = scratch_path(spark, "scores")
+    U.ensure_score_table(spark, root)
+    return U.read_current(spark, root)
+
+
+@register("k3_predictions_csv")
+def _k3(spark, b):
+    """The predictions export written as header CSV and read back typed."""
+    path = scratch_path(spark, "predictions")
+    frame = REGISTRY_RAW["j9_with_customer_dims"](spark, b)
+    sinks.write_predictions(frame, path)
+    return readers.read_csv_table(spark, path, schemas.PREDICTIONS)
+
+
+@register("k4_metrics_csv")
+def _k4(spark, b):
+    path = scratch_path(spark, "metrics-csv")
+    sinks.write_metrics_csv(E.eval_summary(b.scored, None, "Scorecard"), path)
+    schema = "Model string, ROC_AUC double, Precision double, Recall double, Accuracy double, Threshold double, TestSize long"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("k5_eval_json")
+def _k5(spark, b):
+    path = scratch_path(spark, "eval-json")
+    sinks.write_eval_json(E.eval_summary(b.scored, None, "Scorecard"), path)
+    schema = ("Model string, ROC_AUC double, AvgPrecision_PR_AUC double, DefaultRate double, TestSize long, "
+              "ThresholdUsed double")
+    return spark.read.schema(schema).json(path).withColumn("AvgPrecision_PR_AUC", F.round("AvgPrecision_PR_AUC", 12))
+
+
+@register("x2_linear_shap")
+def _x2(spark, b):
+    """Exact attributions of the logistic model (margin space) for every loan."""
+    return X.linear_shap(logistic(spark, b), training_frame(spark, b)[0])
+
+
+def _tree_phi(spark, b) -> DataFrame:
+    def build():
+        return X.tree_shap(forest(spark, b), training_frame(spark, b)[0]).checkpoint(eager=True)
+    return _cached(spark, b, "tree_phi", build)
+
+
+@register("x1_tree_shap")
+def _x1(spark, b):
+    """TreeSHAP attributions of the forest for every loan (long form)."""
+    return _tree_phi(spark, b)
+
+
+@register("x3_shap_summary")
+def _x3(spark, b):
+    return X.shap_summary(_tree_phi(spark, b))
+
+
+@register("x4_dependence")
+def _x4(spark, b):
+    """(Value, Phi) of the top-importance feature."""
+    top = M.top_features(M.importances(forest(spark, b), spark), 1).first()["Feature"]
+    return X.dependence(_tree_phi(spark, b), top)

@@ -158,6 +158,30 @@ FROM (SELECT Scenario, CAST(SUM(PredProb) AS DOUBLE) / COUNT(PredProb) AS MeanPD
       FROM v_stressed GROUP BY Scenario) g"""
 
 
+def _m2_sql() -> str:
+    from loanscope.operators.features import NUMERIC_FEATURES as cols
+    stats = ", ".join(f"avg(CAST(f.{c} AS DOUBLE)) AS m{i}, stddev_pop(CAST(f.{c} AS DOUBLE)) AS s{i}"
+                      for i, c in enumerate(cols))
+    scaled = ", ".join(f"ROUND((CAST({c} AS DOUBLE) - COALESCE(m{i}, 0)) / CASE WHEN s{i} IS NULL OR s{i} = 0 THEN 1 ELSE s{i} END, 9) AS {c}"
+                       for i, c in enumerate(cols))
+    return (f"WITH st AS (SELECT {stats} FROM v_feat f JOIN v_split s ON s.LoanID = f.LoanID WHERE s.IsTest = 0)\n"
+            f"SELECT LoanID, {scaled} FROM v_feat, st")
+
+
+_E9_COLUMNS = """
+SELECT 'Scorecard' AS Model,
+  (SELECT CAST(SUM(pos * (2 * nb + neg)) AS DOUBLE) / CAST(2 * MAX(tpos) * MAX(tneg) AS DOUBLE) FROM v_cum) AS ROC_AUC,
+  (SELECT ROUND(COALESCE(SUM(CASE WHEN pos > 0 THEN (CAST(pos AS DOUBLE) / CAST(tpos AS DOUBLE))
+     * (CAST(tpos - pb AS DOUBLE) / CAST(tpos - pb + tneg - nb AS DOUBLE)) END), 0), 12) FROM v_cum) AS AvgPrecision_PR_AUC,
+  COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0) AS Precision,
+  COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0) AS Recall,
+  COALESCE(CAST(tp + tn AS DOUBLE) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 0) AS Accuracy,
+  (SELECT CAST(SUM(DefaultFlag) AS DOUBLE) / COUNT(DefaultFlag) FROM v_scored) AS DefaultRate,
+  tp + fp + fn + tn AS TestSize,
+  COALESCE((SELECT Threshold FROM v_best), 0.5) AS Threshold
+FROM v_counts"""
+
+
 H42 = portable_hash_sql("LoanID", 42)
 H43 = portable_hash_sql("LoanID", 43)
 
@@ -346,7 +370,19 @@ SELECT LoanID, strftime(Mon, '%Y-%m-%d') AS Month, AvgDaysLate, PriorAvgDaysLate
 FROM w WHERE AvgDaysLate - PriorAvgDaysLate > 0""",
     "t5_top_risk": "SELECT LoanID, CustomerID, CAST(LoanAmount AS DOUBLE) AS LoanAmount, DefaultFlag, PredProb FROM v_scored ORDER BY PredProb DESC, LoanID LIMIT 20",
     "k2_upsert_scores": _k2_sql(),
+    "m2_standardize": _m2_sql(),
+    "m3_balanced_weights": """
+SELECT LoanID, DefaultFlag, CAST(COUNT(*) OVER () AS DOUBLE) / CAST(2 * COUNT(*) OVER (PARTITION BY DefaultFlag) AS DOUBLE) AS weight
+FROM v_split WHERE IsTest = 0""",
+    "k1_ensure_score_table": """
+SELECT CAST(NULL AS BIGINT) AS LoanID, CAST(NULL AS BIGINT) AS CustomerID, CAST(NULL AS DOUBLE) AS LoanAmount,
+  CAST(NULL AS DOUBLE) AS OutstandingAmount, CAST(NULL AS DOUBLE) AS PredProb, CAST(NULL AS INT) AS PredFlag,
+  CAST(NULL AS VARCHAR) AS ScoreDate WHERE FALSE""",
+    "k4_metrics_csv": f"SELECT Model, ROC_AUC, Precision, Recall, Accuracy, Threshold, TestSize FROM ({_E9_COLUMNS}) e",
+    "k5_eval_json": f"SELECT Model, ROC_AUC, AvgPrecision_PR_AUC, DefaultRate, TestSize, Threshold AS ThresholdUsed FROM ({_E9_COLUMNS}) e",
 }
+SQL["e9_eval_summary"] = _E9_COLUMNS
+SQL["k3_predictions_csv"] = SQL["j9_with_customer_dims"]
 
 
 def oracle() -> dict[str, str]:
