@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import ImputerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def linear_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame
     sum(Phi) + BaseValue equals the model margin w.z + b of each row."""
     stages = fitted.model.stages
     lr, scaler = stages[-1], stages[-2]
-    imputer = stages[0] if len(stages) == 4 else None
+    imputer = stages[0] if isinstance(stages[0], ImputerModel) else None
     w = lr.coefficients.toArray()
     mu, sd = scaler.mean.toArray(), scaler.std.toArray()
     fill = {}
@@ -192,7 +193,7 @@ def tree_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
     spark = df.sparkSession
     stages = fitted.model.stages
     rf = stages[-1]
-    imputer = stages[0] if len(stages) == 3 else None
+    imputer = stages[0] if isinstance(stages[0], ImputerModel) else None
     fill = {}
     if imputer is not None:
         sur = imputer.surrogateDF.first().asDict()

@@ -63,7 +63,9 @@ def balanced_weights(df: DataFrame, label: str = LABEL, out: str = "weight") ->
 # ---- pipelines -------------------------------------------------------------------------------------
 
 def _prepared(features: list[str], nullable: list[str]) -> tuple[list, list[str]]:
-    """Imputer (train means) for nullable inputs, then the assembler."""
+    """Imputer (train means) for the inputs that may hold NULLs at scoring
+    time (all features by default: training data may be NULL-free when the
+    scored data is not), then the assembler."""
     stages: list = []
     cols = list(features)
     if nullable:
@@ -101,7 +103,7 @@ def train_logistic(train: DataFrame, features: list[str], weight: str | None = "
     data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total_w = data.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1.0
-        stages, _ = _prepared(features, nullable_features(data, features))
+        stages, _ = _prepared(features, features)
         lr = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=max_iter, regParam=1.0 / (c * total_w),
                                 elasticNetParam=0.0, standardization=False, tol=1e-6)
         if weight:
@@ -119,7 +121,7 @@ def train_forest(train: DataFrame, features: list[str], weight: str | None = "we
     """Random forest (Gini); max_depth None in the reference maps to Spark's cap of 30."""
     data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages, _ = _prepared(features, nullable_features(data, features))
+        stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
                                     minInstancesPerNode=min_instances, featureSubsetStrategy=subset, seed=seed,
                                     maxBins=max_bins, impurity="gini")
@@ -148,7 +150,7 @@ def random_search(train: DataFrame, features: list[str], fold_col: str = "fold",
     space = space or SEARCH_SPACE
     data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages, _ = _prepared(features, nullable_features(data, features))
+        stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, impurity="gini")
         if weight:
             rf.setWeightCol(weight)

@@ -582,7 +582,8 @@ def _m10(spark, b):
 def _m11(spark, b):
     test = _test(spark, b)
     return M.model_comparison({"LogisticRegression": M.score(logistic(spark, b), test),
-                               "RandomForest": M.score(forest(spark, b), test)})
+                               "RandomForest": M.score(forest(spark, b), test),
+                               "RandomForest_SMOTE": M.score(smote_forest(spark, b), test)})
 
 
 @register("k6_model_roundtrip")
@@ -657,3 +658,58 @@ def _x4(spark, b):
     """(Value, Phi) of the top-importance feature."""
     top = M.top_features(M.importances(forest(spark, b), spark), 1).first()["Feature"]
     return X.dependence(_tree_phi(spark, b), top)
+
+
+# ---- oversampling ----------------------------------------------------------------------------------
+
+from loanscope.operators import smote as SM  # noqa: E402
+from loanscope.operators.portfolio import class_counts  # noqa: E402
+
+SMOTE_RATIO = 0.3
+SMOTE_K = 5
+
+
+def imputed_train(spark, b) -> tuple[DataFrame, list[str]]:
+    """Training rows, features as DOUBLE with NULLs replaced by training means."""
+    enc, feats = training_frame(spark, b)
+    train = M.as_double_features(enc.filter("IsTest = 0"), feats)
+    means = {c: float(v) for c, v in zip(feats, train.agg(*[F.avg(c) for c in feats]).first()) if v is not None}
+    return train.fillna(means, subset=list(means)), feats
+
+
+def resampled(spark, b) -> DataFrame:
+    def build():
+        train, feats = imputed_train(spark, b)
+        return SM.smote(train, feats, "DefaultFlag", "LoanID", SMOTE_RATIO, SMOTE_K, 42).checkpoint(eager=True)
+    return _cached(spark, b, "smote", build)
+
+
+@register("m7_smote_knn")
+def _m7k(spark, b):
+    """Exact 5 nearest minority neighbours of every minority training row."""
+    train, feats = imputed_train(spark, b)
+    nn = SM.knn(train.filter("DefaultFlag = 1").select("LoanID", *feats), "LoanID", feats, SMOTE_K)
+    return nn.withColumn("Distance", F.round("Distance", 6))
+
+
+@register("m7_smote")
+def _m7(spark, b):
+    """Training rows plus synthetic minority rows (minority = 0.3 x majority)."""
+    return resampled(spark, b)
+
+
+@register("a19_class_counts")
+def _a19(spark, b):
+    """Class counts after oversampling."""
+    return class_counts(resampled(spark, b), "DefaultFlag")
+
+
+def smote_forest(spark, b) -> M.Fitted:
+    feats = training_frame(spark, b)[1]
+    return _cached(spark, b, "smote_forest", lambda: M.train_forest(
+        resampled(spark, b), feats, weight=None, name="RandomForest_SMOTE", **FOREST))
+
+
+@register("m8_smote_forest_scores")
+def _m8(spark, b):
+    return M.score(smote_forest(spark, b), _test(spark, b), 0.5)

@@ -182,6 +182,36 @@ SELECT 'Scorecard' AS Model,
 FROM v_counts"""
 
 
+_ONE_HOT_LEVELS = {
+    "Industry": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "Region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+    "RiskGradeAtOrigination": ["A", "B", "C", "D", "E"],
+    "CreditScoreBand": ["Low", "Med", "High", "VeryHigh"],
+}
+
+
+def _knn_sql(k: int = 5) -> str:
+    """Brute-force kNN over the minority training rows (all pairs: fine for an oracle)."""
+    from loanscope.operators.features import LEAKY_FEATURES, NUMERIC_FEATURES
+    nums = [c for c in NUMERIC_FEATURES if c not in LEAKY_FEATURES]
+    nullable = ["AnnualRevenue", "InflationRate", "GDPGrowthRate", "CentralBankInterestRate"]
+    onehot = [(c, lv) for c, lvs in _ONE_HOT_LEVELS.items() for lv in lvs[1:]]
+    names = nums + [f"{c}_{lv}" for c, lv in onehot]
+    cols = [f"CAST(f.{c} AS DOUBLE) AS x{i}" for i, c in enumerate(nums)]
+    cols += [f"CAST(CASE WHEN f.{c} = '{lv}' THEN 1 ELSE 0 END AS DOUBLE) AS x{len(nums) + i}"
+             for i, (c, lv) in enumerate(onehot)]
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i, c in enumerate(names) if c in nullable)
+    filled = ", ".join(f"COALESCE(x{i}, m{i}) AS x{i}" if c in nullable else f"x{i}" for i, c in enumerate(names))
+    dist = "0.0 + " + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(names)))
+    return f"""
+WITH tr AS (SELECT f.LoanID, f.DefaultFlag, {", ".join(cols)} FROM v_feat f JOIN v_split s ON s.LoanID = f.LoanID WHERE s.IsTest = 0),
+mm AS (SELECT {means} FROM tr),
+mi AS (SELECT LoanID, {filled} FROM tr, mm WHERE DefaultFlag = 1),
+pr AS (SELECT a.LoanID, b.LoanID AS Neighbor, {dist} AS d2 FROM mi a JOIN mi b ON a.LoanID <> b.LoanID),
+rk AS (SELECT LoanID, Neighbor, d2, row_number() OVER (PARTITION BY LoanID ORDER BY d2, Neighbor) AS Rank FROM pr)
+SELECT LoanID, Neighbor, CAST(Rank AS INT) AS Rank, ROUND(sqrt(d2), 6) AS Distance FROM rk WHERE Rank <= {k}"""
+
+
 H42 = portable_hash_sql("LoanID", 42)
 H43 = portable_hash_sql("LoanID", 43)
 
@@ -382,6 +412,10 @@ SELECT CAST(NULL AS BIGINT) AS LoanID, CAST(NULL AS BIGINT) AS CustomerID, CAST(
     "k5_eval_json": f"SELECT Model, ROC_AUC, AvgPrecision_PR_AUC, DefaultRate, TestSize, Threshold AS ThresholdUsed FROM ({_E9_COLUMNS}) e",
 }
 SQL["e9_eval_summary"] = _E9_COLUMNS
+SQL["m7_smote_knn"] = _knn_sql(5)
+SQL["a19_class_counts"] = """
+WITH n AS (SELECT COUNT(*) FILTER (WHERE DefaultFlag = 0) AS maj FROM v_split WHERE IsTest = 0)
+SELECT 0 AS Label, maj AS N FROM n UNION ALL SELECT 1, CAST(FLOOR(CAST(0.3 AS DOUBLE) * maj) AS BIGINT) FROM n"""
 SQL["k3_predictions_csv"] = SQL["j9_with_customer_dims"]
 
 

@@ -111,3 +111,38 @@ def test_linear_shap_additive(spark, fitted):
         "LoanID", vector_to_array("rawPrediction").getItem(1).alias("m"))
     worst = s.join(raw, "LoanID").agg(F.max(F.abs(F.col("margin") - F.col("m")))).first()[0]
     assert worst < 1e-9
+
+
+def test_knn_exact_against_brute_force(spark):
+    from loanscope.operators import smote as SM
+    rng = np.random.default_rng(5)
+    n, m = 300, 4
+    X_ = np.round(rng.normal(size=(n, m)) * [100, 1, 1, 10], 1)
+    X_[:40] = X_[0]  # a block of exact duplicates: ties broken by key
+    rows = [(int(i), *map(float, x)) for i, x in enumerate(X_)]
+    df = spark.createDataFrame(rows, "LoanID long, a double, b double, c double, d double")
+    got = SM.knn(df, "LoanID", ["a", "b", "c", "d"], 5).toPandas()
+    D = ((X_[:, None, :] - X_[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    for i in range(n):
+        want = sorted(range(n), key=lambda j: (D[i, j], j))[:5]
+        have = list(got[got.LoanID == i].sort_values("Rank").Neighbor)
+        assert have == want
+
+
+def test_smote_counts_and_interpolation(spark, book):
+    from loanscope.operators import smote as SM
+    train, feats = C.imputed_train(spark, book)
+    out = SM.smote(train, feats, ratio=0.3, k=5)
+    counts = {r.DefaultFlag: r["count"] for r in out.groupBy("DefaultFlag").count().collect()}
+    assert counts[1] == int(0.3 * counts[0])
+    # every synthetic point lies inside the bounding box of the minority class
+    mino = train.filter("DefaultFlag = 1")
+    lo = mino.agg(*[F.min(f) for f in feats[:5]]).first()
+    hi = mino.agg(*[F.max(f) for f in feats[:5]]).first()
+    syn = out.filter("Synthetic = 1")
+    for i, f in enumerate(feats[:5]):
+        a, b = syn.agg(F.min(f), F.max(f)).first()
+        assert a >= lo[i] - 1e-9 and b <= hi[i] + 1e-9
+    with pytest.raises(ValueError):
+        SM.smote(train, feats, ratio=0.01)
