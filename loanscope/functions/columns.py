@@ -139,3 +139,15 @@ def portable_hash_sql(key: str, seed: int = 42) -> str:
     k = f"((({key}) % {m} + {m}) % {m})"
     h = f"((({k} + {seed}) * 48271) % {m})"
     return f"((({h} + {seed * 7 + 1}) * 48271) % {m})"
+
+
+def coerce_numeric(c: ColumnOrName, to: str = "double", strict: bool = True) -> Column:
+    """Parse to a number.  strict: an unparsable value fails the job (ANSI
+    cast); otherwise it becomes NULL (``try_cast``) for a quarantine step."""
+    return col(c).cast(to) if strict else F.expr(f"try_cast({_sql_name(c)} AS {to})")
+
+
+def _sql_name(c: ColumnOrName) -> str:
+    if isinstance(c, str):
+        return f"`{c}`"
+    raise TypeError("coerce_numeric(strict=False) takes a column name")

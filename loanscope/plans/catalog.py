@@ -713,3 +713,12 @@ def smote_forest(spark, b) -> M.Fitted:
 @register("m8_smote_forest_scores")
 def _m8(spark, b):
     return M.score(smote_forest(spark, b), _test(spark, b), 0.5)
+
+
+@register("s6_load_tables")
+def _s6(spark, b):
+    """The loan book written as typed Parquet tables and loaded back (full scans): Table, N."""
+    root = scratch_path(spark, "loanbook")
+    for name, df in b.tables().items():
+        readers.as_table(df, schemas.BY_TABLE[name]).write.mode("overwrite").parquet(f"{root}/{name}.parquet")
+    return Q.table_counts(readers.load_tables(spark, root, "parquet"))

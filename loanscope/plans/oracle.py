@@ -412,6 +412,7 @@ SELECT CAST(NULL AS BIGINT) AS LoanID, CAST(NULL AS BIGINT) AS CustomerID, CAST(
     "k5_eval_json": f"SELECT Model, ROC_AUC, AvgPrecision_PR_AUC, DefaultRate, TestSize, Threshold AS ThresholdUsed FROM ({_E9_COLUMNS}) e",
 }
 SQL["e9_eval_summary"] = _E9_COLUMNS
+SQL["s6_load_tables"] = SQL["a1_table_counts"]
 SQL["m7_smote_knn"] = _knn_sql(5)
 SQL["a19_class_counts"] = """
 WITH n AS (SELECT COUNT(*) FILTER (WHERE DefaultFlag = 0) AS maj FROM v_split WHERE IsTest = 0)
