@@ -139,8 +139,8 @@ def _curve_points(c: DataFrame) -> DataFrame:
 
 def best_f1_of(c: DataFrame) -> DataFrame:
     """Max-F1 row of a ``cumulative`` table (lowest threshold on ties); a top-1."""
-    return (_curve_points(c).withColumn("F1", f1_of(F.col("Precision"), F.col("Recall")))
-            .orderBy(F.desc("F1"), F.asc("Threshold")).limit(1))
+    return argmax_row(_curve_points(c).withColumn("F1", f1_of(F.col("Precision"), F.col("Recall"))),
+                      "F1", "Threshold")
 
 
 def best_f1(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
@@ -282,3 +282,8 @@ def eval_summary(sc: DataFrame, threshold: float | Column | None, model: str, po
         n.alias("TestSize"),
         t.alias("Threshold"),
     )
+
+
+def argmax_row(curve: DataFrame, by: str, tie: str, tie_ascending: bool = True) -> DataFrame:
+    """The first row maximising ``by``, ties by ``tie``: a top-1, no global sort."""
+    return curve.orderBy(F.desc(by), F.asc(tie) if tie_ascending else F.desc(tie)).limit(1)

@@ -208,3 +208,16 @@ def model_comparison(scored: dict[str, DataFrame], label: str = LABEL) -> DataFr
 def choose(comparison: DataFrame, metric: str = "AUC") -> str:
     """Name of the best model by ``metric`` (ties by name)."""
     return comparison.orderBy(F.desc(metric), "Model").first()["Model"]
+
+
+def assemble(df: DataFrame, features: list[str], key: str = "LoanID", label: str = LABEL) -> DataFrame:
+    """key, features (vector), label — NULL features imputed by the caller's pipeline;
+    here NULLs fail loudly (``handleInvalid='error'``) so nothing is silently dropped."""
+    data = as_double_features(df, features, label)
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(data).select(
+        key, "features", "label")
+
+
+def standardize_with(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """Scale ``cols`` of ``df`` with the mean / population std of ``train``."""
+    return standardize(df, fit_standardizer(train, cols))

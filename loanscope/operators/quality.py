@@ -140,3 +140,18 @@ def future_dates(loans: DataFrame, as_of: str) -> DataFrame:
     """Violations: loans originated after the as-of date."""
     return (loans.filter(F.col("OriginationDate") > F.lit(as_of).cast("date"))
             .agg(F.count(F.lit(1)).alias("Violations")))
+
+
+def score_range(customers: DataFrame) -> DataFrame:
+    """MinScore, MaxScore of CreditScore."""
+    return value_range(customers, "CreditScore", "MinScore", "MaxScore")
+
+
+def rate_range(loans: DataFrame) -> DataFrame:
+    """MinIR, MaxIR of InterestRate."""
+    return value_range(loans, "InterestRate", "MinIR", "MaxIR")
+
+
+def amount_range(loans: DataFrame) -> DataFrame:
+    """MinLoan, MaxLoan of LoanAmount (the unnamed pair of the sanity query)."""
+    return value_range(loans, "LoanAmount", "MinLoan", "MaxLoan")

@@ -146,3 +146,13 @@ def rising_lateness(repayments: DataFrame, window_months: int = 3) -> DataFrame:
 def top_risk(sc: DataFrame, n: int = 20, pd: str = "PredProb", key: str = "LoanID") -> DataFrame:
     """The n highest-PD loans (ties by key): a top-k, planned as TakeOrderedAndProject."""
     return sc.orderBy(F.desc(pd), F.asc(key)).limit(n)
+
+
+def with_customer_dims(sc: DataFrame, customers: DataFrame) -> DataFrame:
+    """Scored rows + Region, Industry of their customer (left join on CustomerID)."""
+    return sc.join(customers.select("CustomerID", "Region", "Industry"), "CustomerID", "left")
+
+
+def align_scores(base: DataFrame, sc: DataFrame, key: str = "LoanID") -> DataFrame:
+    """Base rows aligned with their scores by key (Spark rows have no positional index)."""
+    return base.join(sc, key, "inner")

@@ -142,17 +142,17 @@ def _t1(spark, b):
 
 @register("a2_score_range")
 def _a2(spark, b):
-    return Q.value_range(b.customers, "CreditScore", "MinScore", "MaxScore")
+    return Q.score_range(b.customers)
 
 
 @register("a3_rate_range")
 def _a3(spark, b):
-    return Q.value_range(b.loans, "InterestRate", "MinIR", "MaxIR")
+    return Q.rate_range(b.loans)
 
 
 @register("a4_amount_range")
 def _a4(spark, b):
-    return Q.value_range(b.loans, "LoanAmount", "MinLoan", "MaxLoan")
+    return Q.amount_range(b.loans)
 
 
 @register("d1_customer_rules")
@@ -381,7 +381,7 @@ def _e9(spark, b):
 def _j9(spark, b):
     """The predictions export frame: scored loans + Region, Industry + PredFlag."""
     sb = scored_base(b).select("LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", "DefaultFlag", "PredProb")
-    j = sb.join(readers.customer_dims(b.customers), "CustomerID", "left")
+    j = R.with_customer_dims(sb, b.customers)
     return j.withColumn("PredFlag", (F.col("PredProb") >= best_t(b)).cast("int")).select(
         "LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", "DefaultFlag", "Region", "Industry",
         "PredProb", "PredFlag")
@@ -391,7 +391,7 @@ def _j9(spark, b):
 def _j10(spark, b):
     """Test-split rows aligned to their scores by LoanID."""
     t = split(b).filter("IsTest = 1").select("LoanID", "OutstandingAmount", "DefaultFlag")
-    return t.join(b.scored.select("LoanID", "PredProb"), "LoanID", "inner")
+    return R.align_scores(t, b.scored.select("LoanID", "PredProb"))
 
 
 @register("r1_kpis")
@@ -532,8 +532,7 @@ def _m2(spark, b):
     """Numeric features standardised with training-split mean and population std."""
     f = FT.add_features(split(b), AS_OF)
     cols = FT.NUMERIC_FEATURES
-    stats = M.fit_standardizer(f.filter("IsTest = 0"), cols)
-    out = M.standardize(f.select("LoanID", *cols), stats)
+    out = M.standardize_with(f.filter("IsTest = 0"), f.select("LoanID", *cols), cols)
     return out.select("LoanID", *[F.round(c, 9).alias(c) for c in cols])
 
 
