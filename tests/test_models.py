@@ -146,3 +146,22 @@ def test_smote_counts_and_interpolation(spark, book):
         assert a >= lo[i] - 1e-9 and b <= hi[i] + 1e-9
     with pytest.raises(ValueError):
         SM.smote(train, feats, ratio=0.01)
+
+
+def test_knn_hot_copy_group_and_small_copy_group(spark):
+    from loanscope.operators import smote as SM
+    rng = np.random.default_rng(9)
+    n = 240
+    X_ = np.round(rng.normal(size=(n, 3)) * [50, 2, 1], 2)
+    X_[:80] = X_[200]          # a third of all points are copies of one vector
+    X_[100:103] = X_[150]      # a small group: 4 copies (< k + 1)
+    keys = rng.permutation(10_000)[:n]
+    df = spark.createDataFrame([(int(keys[i]), *map(float, x)) for i, x in enumerate(X_)],
+                               "LoanID long, a double, b double, c double")
+    got = SM.knn(df, "LoanID", ["a", "b", "c"], 5).toPandas()
+    D = ((X_[:, None, :] - X_[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    for i in range(n):
+        want = [int(keys[j]) for j in sorted(range(n), key=lambda j: (D[i, j], keys[j]))[:5]]
+        have = list(got[got.LoanID == keys[i]].sort_values("Rank").Neighbor)
+        assert have == want, (i, have, want)
