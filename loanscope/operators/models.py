@@ -19,7 +19,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.columns import positive_probability
@@ -181,11 +181,13 @@ def score(fitted: Fitted, df: DataFrame, threshold: float | None = 0.5, keep: li
     return out
 
 
-def importances(fitted: Fitted, spark=None) -> DataFrame:
-    """Feature, Importance (Gini importances of the forest, summing to 1)."""
+def importances(fitted: Fitted, spark: SparkSession | None = None) -> DataFrame:
+    """Feature, Importance (Gini importances of the forest, summing to 1).
+
+    A model attribute (one value per feature), turned into a small frame."""
     rf = fitted.model.stages[-1]
     vals = rf.featureImportances.toArray().tolist()
-    spark = spark or fitted.model.stages[-1]._sc and __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(fitted.features, vals)], "Feature string, Importance double")
 
 
