@@ -184,3 +184,44 @@ def test_seeded_sample_repeatable(book):
     a = [r.LoanID for r in S.seeded_sample(base.repartition(4), "LoanID", 50).collect()]
     b = [r.LoanID for r in S.seeded_sample(base.repartition(9), "LoanID", 50).collect()]
     assert a == b and len(a) == 50
+
+
+def test_payment_ratio_zero_dues(spark):
+    df = spark.createDataFrame([(1, 0, 5.0, 0.0), (1, 3, 1.0, 0.0), (2, 0, 4.0, 8.0)],
+                               "LoanID long, DaysLate int, PaymentAmount double, DueAmount double")
+    got = {r.LoanID: (r.NumPayments, r.AvgDaysLate, r.PaymentRatio) for r in FT.repayment_agg(df).collect()}
+    assert got == {1: (2, 1.5, 0.0), 2: (1, 0.0, 0.5)}
+
+
+def test_defaulted_without_snapshot_gets_zero_label(book):
+    base = CAT.base(book)
+    no_snap = base.join(book.snapshots.select("LoanID").distinct(), "LoanID", "left_anti")
+    row = no_snap.agg(F.count("*").alias("n"), F.sum(F.when(F.col("Status") == "Defaulted", 1).otherwise(0)).alias("d"),
+                      F.max("DefaultFlag").alias("m")).first()
+    assert row.n > 0 and row.d > 0 and row.m == 0
+
+
+def test_loans_without_macro_month_keep_null_macro(book):
+    base = CAT.base(book)
+    missing = base.join(book.macro.select(F.trunc("MonthDate", "MM").alias("m")),
+                        F.trunc(base.OriginationDate, "MM") == F.col("m"), "left_anti")
+    assert missing.count() > 0
+    assert missing.filter(F.col("InflationRate").isNotNull()).count() == 0
+
+
+def test_single_class_metrics(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.9)], "DefaultFlag int, PredProb double")
+    assert E.roc_auc(df).first()[0] is None            # undefined with no negatives
+    assert E.average_precision(df).first()[0] == 1.0
+    pm = E.point_metrics(df, 0.5).first()
+    assert (pm.Precision, pm.Recall, pm.Accuracy) == (1.0, 0.5, 0.5)
+
+
+def test_best_threshold_empty_defaults(spark):
+    df = spark.createDataFrame([], "DefaultFlag int, PredProb double")
+    assert E.best_threshold(df) == 0.5
+
+
+def test_duplicate_keys_found(book):
+    d = Q.duplicate_keys(book.repayments, ["LoanID", "PaymentDate"])
+    assert d.count() > 0 and d.agg(F.min("N")).first()[0] == 2
