@@ -15,6 +15,7 @@ Both return long form: LoanID, Feature, Value, Phi (+ BaseValue for checks).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,15 @@ from pyspark.sql import functions as F
 
 from loanscope.operators.models import Fitted, as_double_features
 
+# The mapInPandas function and the TreeSHAP helpers it calls are pickled by
+# value, so executors need numpy/pandas only, not this package installed.
+try:
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship the package with addPyFile instead
+    pass
+
 
 # ---- linear -----------------------------------------------------------------------------------------
 
