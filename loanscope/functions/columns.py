@@ -151,3 +151,11 @@ def _sql_name(c: ColumnOrName) -> str:
     if isinstance(c, str):
         return f"`{c}`"
     raise TypeError("coerce_numeric(strict=False) takes a column name")
+
+
+def parse_date(c: ColumnOrName, fmt: str = "yyyy-MM-dd", strict: bool = True) -> Column:
+    """Parse text to DATE.  strict: a malformed value fails the job; otherwise
+    it becomes NULL (``try_to_timestamp``) for a quarantine step."""
+    if strict:
+        return F.to_date(col(c), fmt)
+    return F.try_to_timestamp(col(c), F.lit(fmt)).cast("date")

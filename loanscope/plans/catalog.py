@@ -494,7 +494,7 @@ _CACHE: dict[tuple, object] = {}
 
 
 def _cached(spark: SparkSession, b: LoanBook, name: str, build):
-    key = (id(spark), name, tuple(sorted(b.loans.inputFiles())))
+    key = (spark.sparkContext.applicationId, id(spark), name, tuple(sorted(b.loans.inputFiles())))
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]

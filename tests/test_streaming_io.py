@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loanscope.functions.columns import coerce_numeric
+from loanscope.functions.columns import coerce_numeric, parse_date
 from loanscope.operators import upsert as U
 from loanscope.plans import catalog as C
 from loanscope.sources import readers, schemas
@@ -49,3 +49,11 @@ def test_coerce_numeric(spark):
     assert [r[0] for r in df.select(coerce_numeric("v", strict=False)).collect()] == [1.5, None]
     with pytest.raises(Exception):
         df.select(coerce_numeric("v")).collect()
+
+
+def test_parse_date(spark):
+    df = spark.createDataFrame([("2001-02-03",), ("bad",)], "v string")
+    got = [r[0] for r in df.select(parse_date("v", strict=False)).collect()]
+    assert str(got[0]) == "2001-02-03" and got[1] is None
+    with pytest.raises(Exception):
+        df.select(parse_date("v")).collect()
