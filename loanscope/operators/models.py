@@ -76,6 +76,14 @@ def _prepared(features: list[str], nullable: list[str]) -> tuple[list, list[str]
     return stages, cols
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Training scans its input once per iteration / tree level: give it at
+    least one partition per core (a no-op at scale, where inputs already have
+    many partitions; small AQE-coalesced inputs would otherwise train on one)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_double_features(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
     """Features as DOUBLE, label as DOUBLE 'label' (pyspark.ml input shape)."""
     keep = [c for c in df.columns if c not in features and c != "label"]
@@ -100,7 +108,7 @@ def train_logistic(train: DataFrame, features: list[str], weight: str | None = "
                    max_iter: int = 1000, seed: int = 42) -> Fitted:
     """L2 logistic regression on standardised features; with balanced weights the
     penalty 1/(2C)||w||^2 over the weighted log-loss sum maps to regParam = 1/(C*sum w)."""
-    data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total_w = data.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1.0
         stages, _ = _prepared(features, features)
@@ -119,7 +127,7 @@ def train_forest(train: DataFrame, features: list[str], weight: str | None = "we
                  max_depth: int = 30, min_instances: int = 1, subset: str = "sqrt", seed: int = 42,
                  max_bins: int = 32, name: str = "RandomForest") -> Fitted:
     """Random forest (Gini); max_depth None in the reference maps to Spark's cap of 30."""
-    data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
@@ -148,7 +156,7 @@ def random_search(train: DataFrame, features: list[str], fold_col: str = "fold",
     """Seeded sample of ``n_iter`` grid points, k-fold CV on the given stratified
     folds (ROC-AUC), refit of the best on all training rows."""
     space = space or SEARCH_SPACE
-    data = as_double_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, impurity="gini")

@@ -306,8 +306,11 @@ FROM v_base""",
     "f7_one_hot": _one_hot_sql(),
     "m1_stratified_split": "SELECT LoanID, DefaultFlag, IsTest FROM v_split",
     "m1_folds": f"""
-SELECT LoanID, DefaultFlag, CAST((row_number() OVER (PARTITION BY DefaultFlag ORDER BY {H43}, LoanID) - 1) % 3 AS INT) AS fold
-FROM v_split WHERE IsTest = 0""",
+WITH r AS (SELECT LoanID, DefaultFlag, row_number() OVER (PARTITION BY DefaultFlag ORDER BY {H43}, LoanID) AS rk,
+                  COUNT(*) OVER (PARTITION BY DefaultFlag) AS n FROM v_split WHERE IsTest = 0)
+SELECT LoanID, DefaultFlag, CAST(CASE WHEN rk <= n // 3 + LEAST(1, n % 3) THEN 0
+                                      WHEN rk <= 2 * (n // 3) + LEAST(2, n % 3) THEN 1 ELSE 2 END AS INT) AS fold
+FROM r""",
     "x5_seeded_sample": f"""
 SELECT LoanID, CustomerID, CAST(LoanAmount AS DOUBLE) AS LoanAmount, CreditScore, DefaultFlag
 FROM v_base ORDER BY {H42}, LoanID LIMIT {C.SAMPLE_N}""",
