@@ -233,8 +233,9 @@ def class_report(sc: DataFrame, threshold: float | Column, label: str = LABEL, s
 
 def calibration_bin(p: Column, bins: int = 10) -> Column:
     """Uniform-bin index in [0, bins-1]: the count of inner edges strictly below p,
-    with edges k * (1 + 1e-8) / bins (right-closed bins; 1.0 lands in the last)."""
-    step = (1.0 + 1e-8) / bins
+    with edges k * (1 / bins) as numpy's linspace(0, 1, bins + 1) computes them
+    (right-closed bins; 0 lands in the first, 1.0 in the last)."""
+    step = 1.0 / bins
     expr = F.lit(0)
     for k in range(1, bins):
         expr = F.when(p > F.lit(k * step), F.lit(k)).otherwise(expr)

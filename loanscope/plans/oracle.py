@@ -117,7 +117,7 @@ def _one_hot_sql() -> str:
 
 
 def _calibration_sql(bins: int = 10) -> str:
-    step = (1.0 + 1e-8) / bins
+    step = 1.0 / bins
     case = "CASE " + " ".join(f"WHEN CAST(PredProb AS DOUBLE) > {k * step!r} THEN {k}" for k in range(bins - 1, 0, -1)) + " ELSE 0 END"
     return f"""SELECT {case} AS Bin, ROUND(SUM(CAST(PredProb AS DOUBLE)) / COUNT(*), 12) AS MeanPred,
   CAST(SUM(DefaultFlag) AS DOUBLE) / COUNT(*) AS FractionPos, COUNT(*) AS N
