@@ -721,3 +721,28 @@ def _s6(spark, b):
     for name, df in b.tables().items():
         readers.as_table(df, schemas.BY_TABLE[name]).write.mode("overwrite").parquet(f"{root}/{name}.parquet")
     return Q.table_counts(readers.load_tables(spark, root, "parquet"))
+
+
+# ---- scenarios with the fitted model ---------------------------------------------------------------
+
+def model_stressed(spark, b) -> DataFrame:
+    """Test rows once per macro scenario, macro columns replaced, rescored by the
+    logistic model (it extrapolates to the scenario ranges; a forest cannot)."""
+    lr = logistic(spark, b)
+    test = _test(spark, b)
+
+    def rescore(df: DataFrame) -> DataFrame:
+        return M.score(lr, df, None, keep=["Scenario", "LoanID", "OutstandingAmount"])
+
+    return R.apply_scenarios(test, rescore)
+
+
+@register("r6_model_scenarios")
+def _r6m(spark, b):
+    return model_stressed(spark, b)
+
+
+@register("r7_model_scenario_summary")
+def _r7m(spark, b):
+    """Scenario, MeanPD, ExpectedLossM (exposure = outstanding), PctVsBase under the logistic model."""
+    return R.scenario_summary(model_stressed(spark, b), LGD, exposure="OutstandingAmount")
