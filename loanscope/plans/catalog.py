@@ -746,3 +746,19 @@ def _r6m(spark, b):
 def _r7m(spark, b):
     """Scenario, MeanPD, ExpectedLossM (exposure = outstanding), PctVsBase under the logistic model."""
     return R.scenario_summary(model_stressed(spark, b), LGD, exposure="OutstandingAmount")
+
+
+@register("a20_model_expected_loss")
+def _a20m(spark, b):
+    """Expected loss of the test split under the forest: SUM(PD x OutstandingAmount) x LGD."""
+    sc = M.score(forest(spark, b), _test(spark, b), None, keep=["LoanID", "OutstandingAmount"])
+    return R.expected_loss(sc, LGD)
+
+
+@register("e9_model_eval_summary")
+def _e9m(spark, b):
+    """Evaluation summary of the forest on the test split (max-F1 threshold;
+    DefaultRate over the whole feature table)."""
+    enc, _ = training_frame(spark, b)
+    sc = M.score(forest(spark, b), _test(spark, b), None)
+    return E.eval_summary(sc, None, "RandomForest", population=enc)
