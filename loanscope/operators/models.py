@@ -91,12 +91,6 @@ def as_double_features(df: DataFrame, features: list[str], label: str = LABEL) -
                      F.col(label).cast("double").alias("label"))
 
 
-def nullable_features(df: DataFrame, features: list[str]) -> list[str]:
-    """Features that hold a NULL somewhere (one aggregate)."""
-    row = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(features)]).first()
-    return [c for i, c in enumerate(features) if row[f"n{i}"]]
-
-
 @dataclass
 class Fitted:
     model: PipelineModel

@@ -18,9 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanscope.functions.columns import (
-    as_double, indicator, is_defaulted, mean_of, month_label, pct_round2, ratio,
-)
+from loanscope.functions.columns import as_double, is_defaulted, mean_of, month_label, pct_round2, ratio
 
 
 def loan_customer(loans: DataFrame, customers: DataFrame, kind: str = "left") -> DataFrame:
@@ -231,7 +229,3 @@ def label_rate(df: DataFrame, label: str = "DefaultFlag") -> DataFrame:
 def class_counts(df: DataFrame, label: str = "DefaultFlag") -> DataFrame:
     """Label, N."""
     return df.groupBy(F.col(label).alias("Label")).agg(F.count(F.lit(1)).alias("N")).orderBy("Label")
-
-
-def default_indicator(df: DataFrame) -> DataFrame:
-    return df.withColumn("IsDefaulted", indicator(F.col("Status") == "Defaulted"))
