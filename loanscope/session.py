@@ -17,10 +17,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "loanscope") -> SparkSession:
-    """Local-mode session used by tests and bench.py (UI off, AQE on)."""
+                  app: str = "loanscope", event_log_dir: str | None = None) -> SparkSession:
+    """Local-mode session used by tests and bench.py (UI off, AQE on; optional
+    event log for stage/task timings, read back with tools/stage_times.py)."""
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
