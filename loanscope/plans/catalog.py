@@ -693,8 +693,15 @@ def _m7k(spark, b):
 
 @register("m7_smote")
 def _m7(spark, b):
-    """Training rows plus synthetic minority rows (minority = 0.3 x majority)."""
-    return resampled(spark, b)
+    """Training rows plus synthetic minority rows (minority = 0.3 x majority);
+    the macro columns, whose missing months are filled with float means, are
+    rounded to 1e-9; every other feature is exact."""
+    r = resampled(spark, b)
+    feats = training_frame(spark, b)[1]
+    macro = set(FT.MACRO_FIELDS)
+    return r.select("LoanID", "DefaultFlag",
+                    *[(F.round(F.col(f"`{c}`"), 9) if c in macro else F.col(f"`{c}`")).alias(c) for c in feats],
+                    "Synthetic")
 
 
 @register("a19_class_counts")

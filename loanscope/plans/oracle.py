@@ -212,6 +212,51 @@ rk AS (SELECT LoanID, Neighbor, d2, row_number() OVER (PARTITION BY LoanID ORDER
 SELECT LoanID, Neighbor, CAST(Rank AS INT) AS Rank, ROUND(sqrt(d2), 6) AS Distance FROM rk WHERE Rank <= {k}"""
 
 
+def _smote_sql(k: int = 5, ratio: float = 0.3, seed: int = 42) -> str:
+    """SMOTE output: training rows + synthetic rows (seeded-hash neighbour and gap)."""
+    from loanscope.operators.features import LEAKY_FEATURES, NUMERIC_FEATURES
+    nums = [c for c in NUMERIC_FEATURES if c not in LEAKY_FEATURES]
+    nullable = ["AnnualRevenue", "InflationRate", "GDPGrowthRate", "CentralBankInterestRate"]
+    onehot = [(c, lv) for c, lvs in _ONE_HOT_LEVELS.items() for lv in lvs[1:]]
+    names = nums + [f"{c}_{lv}" for c, lv in onehot]
+    n = len(names)
+    cols = [f"CAST(f.{c} AS DOUBLE) AS x{i}" for i, c in enumerate(nums)]
+    cols += [f"CAST(CASE WHEN f.{c} = '{lv}' THEN 1 ELSE 0 END AS DOUBLE) AS x{len(nums) + i}"
+             for i, (c, lv) in enumerate(onehot)]
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i, c in enumerate(names) if c in nullable)
+    filled = ", ".join(f"COALESCE(x{i}, m{i}) AS x{i}" if c in nullable else f"x{i}" for i, c in enumerate(names))
+    dist = "0.0 + " + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(n))
+    macro = {"InflationRate", "GDPGrowthRate", "CentralBankInterestRate"}
+
+    def rnd(e: str, c: str) -> str:
+        return f"ROUND({e}, 9)" if c in macro else e
+
+    base_out = ", ".join(f'{rnd(f"x{i}", c)} AS "{c}"' for i, c in enumerate(names))
+    syn_out = ", ".join(f'{rnd(f"d.x{i} + d.u * (nb.x{i} - d.x{i})", c)} AS "{c}"' for i, c in enumerate(names))
+    h_key = portable_hash_sql("LoanID", seed)
+    h_nb = portable_hash_sql("(LoanID * 1009 + t)", seed)
+    h_u = portable_hash_sql("(LoanID * 7919 + t)", seed + 1)
+    return f"""
+WITH tr AS (SELECT f.LoanID, f.DefaultFlag, {", ".join(cols)} FROM v_feat f JOIN v_split s ON s.LoanID = f.LoanID WHERE s.IsTest = 0),
+mm AS (SELECT {means} FROM tr),
+trf AS (SELECT LoanID, DefaultFlag, {filled} FROM tr, mm),
+cnt AS (SELECT CAST(SUM(CASE WHEN DefaultFlag = 0 THEN 1 ELSE 0 END) AS BIGINT) AS maj,
+               CAST(SUM(CASE WHEN DefaultFlag = 1 THEN 1 ELSE 0 END) AS BIGINT) AS mino FROM trf),
+nd AS (SELECT CAST(FLOOR(CAST({ratio} AS DOUBLE) * maj) AS BIGINT) - mino AS need, mino FROM cnt),
+mi AS (SELECT * FROM trf WHERE DefaultFlag = 1),
+pr AS (SELECT a.LoanID, b.LoanID AS Neighbor, {dist} AS d2 FROM mi a JOIN mi b ON a.LoanID <> b.LoanID),
+kn AS (SELECT LoanID, Neighbor, row_number() OVER (PARTITION BY LoanID ORDER BY d2, Neighbor) AS nr FROM pr),
+rk AS (SELECT mi.*, row_number() OVER (ORDER BY {h_key}, LoanID) AS r FROM mi),
+cp AS (SELECT rk.*, nd.need // nd.mino + CASE WHEN r <= nd.need % nd.mino THEN 1 ELSE 0 END AS copies FROM rk, nd),
+dr AS (SELECT cp.*, unnest(range(CAST(0 AS BIGINT), CAST(copies AS BIGINT))) AS t FROM cp WHERE copies > 0),
+dr2 AS (SELECT dr.*, CAST(({h_nb}) % {k} + 1 AS BIGINT) AS nrank,
+           CAST({h_u} AS DOUBLE) / CAST(2147483647 AS DOUBLE) AS u FROM dr)
+SELECT LoanID, DefaultFlag, {base_out}, 0 AS Synthetic FROM trf
+UNION ALL
+SELECT CAST(-(d.LoanID * (nd.need // nd.mino + 2) + d.t + 1) AS BIGINT) AS LoanID, 1 AS DefaultFlag, {syn_out}, 1 AS Synthetic
+FROM dr2 d CROSS JOIN nd JOIN kn ON kn.LoanID = d.LoanID AND kn.nr = d.nrank JOIN mi nb ON nb.LoanID = kn.Neighbor"""
+
+
 H42 = portable_hash_sql("LoanID", 42)
 H43 = portable_hash_sql("LoanID", 43)
 
@@ -417,6 +462,7 @@ SELECT CAST(NULL AS BIGINT) AS LoanID, CAST(NULL AS BIGINT) AS CustomerID, CAST(
 SQL["e9_eval_summary"] = _E9_COLUMNS
 SQL["s6_load_tables"] = SQL["a1_table_counts"]
 SQL["m7_smote_knn"] = _knn_sql(5)
+SQL["m7_smote"] = _smote_sql(5, 0.3, 42)
 SQL["a19_class_counts"] = """
 WITH n AS (SELECT COUNT(*) FILTER (WHERE DefaultFlag = 0) AS maj FROM v_split WHERE IsTest = 0)
 SELECT 0 AS Label, maj AS N FROM n UNION ALL SELECT 1, CAST(FLOOR(CAST(0.3 AS DOUBLE) * maj) AS BIGINT) FROM n"""
