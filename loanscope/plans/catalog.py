@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.functions.columns import flag_at
+from loanscope.operators import explain as X
 from loanscope.operators import features as FT
 from loanscope.operators import metrics as E
+from loanscope.operators import models as M
 from loanscope.operators import portfolio as P
 from loanscope.operators import quality as Q
 from loanscope.operators import risk as R
 from loanscope.operators import sampling as S
+from loanscope.operators import smote as SM
 from loanscope.operators import upsert as U
+from loanscope.operators.portfolio import class_counts
 from loanscope.plans.portable import portable
 from loanscope.session import ensure_checkpoint_dir, scratch_path
 from loanscope.sources import readers, schemas
+from loanscope.sources import sinks
 from loanscope.sources.fixtures import AS_OF, LoanBook, load_book
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,9 +487,6 @@ def _k2(spark, b):
 # Fitted models are cached per (session, sf_dir) so the model-based entries
 # share one fit each; every fit is seeded, so the cache never changes results.
 
-from loanscope.operators import explain as X  # noqa: E402
-from loanscope.operators import models as M  # noqa: E402
-from loanscope.sources import sinks  # noqa: E402
 
 # Registered model settings (a point of the search grid, and a small search).
 FOREST = {"num_trees": 200, "max_depth": 6, "min_instances": 1, "subset": "sqrt"}
@@ -661,8 +663,6 @@ def _x4(spark, b):
 
 # ---- oversampling ----------------------------------------------------------------------------------
 
-from loanscope.operators import smote as SM  # noqa: E402
-from loanscope.operators.portfolio import class_counts  # noqa: E402
 
 SMOTE_RATIO = 0.3
 SMOTE_K = 5
