@@ -57,3 +57,17 @@ def test_parse_date(spark):
     assert str(got[0]) == "2001-02-03" and got[1] is None
     with pytest.raises(Exception):
         df.select(parse_date("v")).collect()
+
+
+def test_stream_restart_does_not_recommit(spark, book, tmp_path):
+    enc, feats = C.training_frame(spark, book)
+    fitted = C.logistic(spark, book)
+    cols = list(dict.fromkeys(["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", *feats, "DefaultFlag"]))
+    src = str(tmp_path / "in")
+    enc.select(*cols).write.parquet(f"{src}/a")
+    schema = enc.select(*cols).schema
+    root, ckpt = str(tmp_path / "scores"), str(tmp_path / "ckpt")
+    for _ in range(2):  # the second start finds every file already committed in its checkpoint
+        start_scoring_stream(spark, f"{src}/*", schema, fitted, root, 0.5, "2002-01-01 00:00:00",
+                             checkpoint=ckpt).awaitTermination()
+    assert U.committed_versions(spark, root) == [0, 1]
