@@ -24,3 +24,4 @@ def test_model_job(spark, tmp_path):
     assert spark.read.parquet(out["scores_version"]).count() == book.loans.count()
     row = spark.read.option("header", True).csv(os.path.join(str(tmp_path), "model_eval_summary_csv")).first()
     assert row["Model"] == out["chosen"] and float(row["Threshold"]) == out["threshold"]
+    assert 0.0 <= out["accuracy_baseline"] <= 1.0
