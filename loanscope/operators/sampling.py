@@ -188,7 +188,10 @@ def first_in_order(df: DataFrame, key: str, n_first: int, seed: int = 42, out: s
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, the smallest by (hash(key, seed), key): repeatable, partition-independent.
+    """n rows, the smallest by (hash(key, seed), key, hash of the whole row):
+    repeatable and partition-independent even when a key has copies.
 
     Planned as a top-n (each partition keeps n rows, then one merge)."""
-    return (df.withColumn("_h", portable_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h"))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return (df.withColumn("_h", portable_hash(key, seed)).withColumn("_rh", row_hash)
+            .orderBy("_h", key, "_rh").limit(n).drop("_h", "_rh"))

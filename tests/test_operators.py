@@ -252,3 +252,19 @@ def test_best_threshold_empty_defaults(spark):
 def test_duplicate_keys_found(book):
     d = Q.duplicate_keys(book.repayments, ["LoanID", "PaymentDate"])
     assert d.count() > 0 and d.agg(F.min("N")).first()[0] == 2
+
+
+def test_cluster_conf_sizes_partitions():
+    from loanscope.session import cluster_conf
+    c = cluster_conf(100 * 2**40, executors=1000, cores_per_executor=4)
+    assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 2**40 // (256 << 20)
+    assert int(cluster_conf(1 << 20, executors=10)["spark.sql.shuffle.partitions"]) == 80
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_seeded_sample_with_copies_is_repeatable(spark):
+    rows = [(7, i) for i in range(50)] + [(100 + i, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "LoanID long, v int")
+    a = [tuple(r) for r in S.seeded_sample(df.repartition(3), "LoanID", 30).collect()]
+    b = [tuple(r) for r in S.seeded_sample(df.repartition(7), "LoanID", 30).collect()]
+    assert a == b
