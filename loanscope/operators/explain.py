@@ -147,22 +147,27 @@ def _tree_shap_batch(t: dict[str, np.ndarray], X: np.ndarray, phi: np.ndarray) -
 
     def leaf_credit(pd_, pz, po, pw, v):
         """For every path element i >= 1 at once: sum(UNWIND(path, i).w) * (o_i - z_i) * v,
-        added to phi[:, d_i] (path features are unique, so the fancy-index add is exact)."""
+        added to phi[:, d_i] (path features are unique, so the fancy-index add is exact).
+
+        One fractions are exactly 0 or 1 here, so the unwound sum splits in two:
+        o = 0 -> sum_j w_j (L+1) / (z (L-j)), a matrix product; o = 1 -> a short
+        recurrence with precomputed coefficients."""
         L = len(pd_) - 1
         if L == 0:
             return
-        O = po[:, 1:]                                   # (n, L) one fractions of elements 1..L
-        Z = np.asarray(pz[1:], dtype=float)             # (L,) zero fractions
-        nz = O != 0
-        safe_o = np.where(nz, O, 1.0)
-        safe_z = np.where(Z != 0, Z, 1.0)
-        total = np.zeros_like(O)
+        O = po[:, 1:]                                   # (n, L), values 0 or 1
+        Z = np.asarray(pz[1:], dtype=float)             # (L,)
+        jj = np.arange(L)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c3 = np.where(Z[None, :] != 0, (L + 1) / (Z[None, :] * (L - jj)[:, None]), 0.0)  # (L, L): [j, i]
+        zero_part = pw[:, :L] @ c3                       # o_i = 0
         nxt = np.repeat(pw[:, L:L + 1], L, axis=1)
-        for j in range(L - 1, -1, -1):
-            tmp = nxt * (L + 1) / ((j + 1) * safe_o)
-            wj = pw[:, j:j + 1]
-            total += np.where(nz, tmp, np.where(Z != 0, wj / (safe_z * (L - j) / (L + 1)), 0.0))
-            nxt = np.where(nz, wj - tmp * Z * (L - j) / (L + 1), nxt)
+        one_part = np.zeros_like(O)
+        for j in range(L - 1, -1, -1):                  # o_i = 1
+            tmp = nxt * ((L + 1) / (j + 1))
+            one_part += tmp
+            nxt = pw[:, j:j + 1] - tmp * (Z * ((L - j) / (L + 1)))
+        total = np.where(O != 0, one_part, zero_part)
         phi[:, np.asarray(pd_[1:], dtype=np.int64)] += total * (O - Z) * v
 
     def recurse(j, pd_, pz, po, pw, z, o, d):
