@@ -599,9 +599,11 @@ def _k6(spark, b):
 
 @register("k1_ensure_score_table")
 def _k1(spark, b):
-    """The typed, empty score table created when absent (read back)."""
+    """Score table created when absent (typed, empty version 0), the scored book
+    committed as the next version through the versioned upsert, then read back."""
     root = scratch_path(spark, "scores")
     U.ensure_score_table(spark, root)
+    U.commit_upsert(spark, root, score_rows(scored_base(b), PRIOR_THRESHOLD), UPSERT_TS)
     return U.read_current(spark, root)
 
 

@@ -452,10 +452,10 @@ FROM w WHERE AvgDaysLate - PriorAvgDaysLate > 0""",
     "m3_balanced_weights": """
 SELECT LoanID, DefaultFlag, CAST(COUNT(*) OVER () AS DOUBLE) / CAST(2 * COUNT(*) OVER (PARTITION BY DefaultFlag) AS DOUBLE) AS weight
 FROM v_split WHERE IsTest = 0""",
-    "k1_ensure_score_table": """
-SELECT CAST(NULL AS BIGINT) AS LoanID, CAST(NULL AS BIGINT) AS CustomerID, CAST(NULL AS DOUBLE) AS LoanAmount,
-  CAST(NULL AS DOUBLE) AS OutstandingAmount, CAST(NULL AS DOUBLE) AS PredProb, CAST(NULL AS INT) AS PredFlag,
-  CAST(NULL AS VARCHAR) AS ScoreDate WHERE FALSE""",
+    "k1_ensure_score_table": f"""
+SELECT LoanID, CustomerID, CAST(LoanAmount AS DOUBLE) AS LoanAmount, CAST(OutstandingAmount AS DOUBLE) AS OutstandingAmount,
+  PredProb, CASE WHEN PredProb >= {C.PRIOR_THRESHOLD} THEN 1 ELSE 0 END AS PredFlag, '{C.UPSERT_TS}' AS ScoreDate
+FROM v_scored_base""",
     "k4_metrics_csv": f"SELECT Model, ROC_AUC, Precision, Recall, Accuracy, Threshold, TestSize FROM ({_E9_COLUMNS}) e",
     "k5_eval_json": f"SELECT Model, ROC_AUC, AvgPrecision_PR_AUC, DefaultRate, TestSize, Threshold AS ThresholdUsed FROM ({_E9_COLUMNS}) e",
 }
