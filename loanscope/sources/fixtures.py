@@ -146,21 +146,33 @@ class LoanBook:
         }
 
 
+# Spark-side temp views are namespaced so the caller's own views are never replaced.
+SPARK_PREFIX = "loanscope_"
+
+
+def spark_view_sql(name: str) -> str:
+    """The fixture text with table and view names namespaced for the Spark session."""
+    text = VIEW_SQL[name]
+    for t in (*RAW_TABLES, *VIEW_SQL):
+        text = re.sub(rf"\b{t}\b", SPARK_PREFIX + t, text)
+    return text
+
+
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
     for t in RAW_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(SPARK_PREFIX + t)
 
 
 def load_book(spark: SparkSession, sf_dir: str) -> LoanBook:
-    """Register raw tables and the fixture views; return them as DataFrames.
+    """Register raw tables and the fixture views (namespaced); return them as DataFrames.
 
     The views are lazy: only the columns and rows a query touches are read.
     """
     register_raw(spark, sf_dir)
     frames: dict[str, DataFrame] = {}
     for name in ("v_customers", "v_loans", "v_repayments", "v_macro", "v_snapshots", "v_scored"):
-        df = spark.sql(VIEW_SQL[name])
-        df.createOrReplaceTempView(name)
+        df = spark.sql(spark_view_sql(name))
+        df.createOrReplaceTempView(SPARK_PREFIX + name)
         frames[name] = df
     return LoanBook(
         customers=frames["v_customers"],
