@@ -3,12 +3,15 @@
 import pytest
 
 import __spark_entry__ as entry
+import tools.check_oracle as check
 from tools.check_oracle import compare, duck
 
 from conftest import SF_SMALL
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
+check.EXACT = True    # floats must agree bit for bit
+check.DTYPES = True   # and arrive as the same pandas dtypes
 
 
 @pytest.fixture(scope="module")
