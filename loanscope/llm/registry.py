@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from loanscope.llm import mixing, sharding
+from loanscope.llm import decontamination, mixing, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op6_mixing": mixing.op6_mixing,
+    "op8_secrets": secrets.op8_secrets,
 }
 SQL = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op8_secrets": secrets.OP8_SQL,
 }
