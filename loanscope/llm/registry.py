@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loanscope.llm import decontamination, language, mixing, quality, secrets, sharding
+from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_language": language.op3_language,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_mixing": mixing.op6_mixing,
+    "op7_embeddings": embeddings.op7_embeddings,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
 }
