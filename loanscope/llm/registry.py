@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, quality, secrets, sharding
+from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, quality, secrets, sharding, suffixes
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
