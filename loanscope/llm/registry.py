@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, quality, secrets, sharding, suffixes
+from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, passages, quality, secrets, sharding, suffixes
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_language": language.op3_language,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_passages": passages.op5_passages,
     "op6_mixing": mixing.op6_mixing,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_secrets": secrets.op8_secrets,
