@@ -90,21 +90,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """``docs`` without contaminated documents (``remove="documents"``), or with
     the hit words cut out of every text (``remove="spans"``)."""
     found = find_hits(docs, benchmark).where(F.size("hit") > 0)
-    key = F.xxhash64("text")
-    match = lambda d, f: d["doc_id"].eqNullSafe(f["hit_id"]) & (d["text_h"] == f["hit_h"])
-    keyed = docs.withColumn("text_h", key)
     if remove == "documents":
-        bad = found.where(is_contaminated(F.size("hit"), F.col("n_words"))).select(
-            F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"))
-        return keyed.join(bad, match(keyed, bad), "left_anti").select(*docs.columns)
-    cut = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).agg(F.first("hit").alias("hit"))
-    joined = keyed.join(cut, match(keyed, cut), "left").withColumn(
-        "gaps", F.split("text", ANY_CASE_WORD, -1)).withColumn(
-        "own", F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), F.lit(0)))
-    kept = F.transform("gaps", lambda g, i: F.concat(g, F.when(
-        (i < F.size("own")) & ~F.array_contains("hit", i), F.get("own", i)).otherwise("")))
-    text = F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*docs.columns)
+        bad = found.where(is_contaminated(F.size("hit"), F.col("n_words")))
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
+    cut = found.groupBy("doc_id", "h").agg(F.first("hit").alias("hit"))
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["h"]), "left")
+    text, hit = docs["text"], cut["hit"]
+    own = F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
+    kept = F.transform(F.split(text, ANY_CASE_WORD, -1), lambda gap, i: F.concat(gap, F.when(
+        (i < F.size(own)) & ~F.array_contains(hit, i), F.get(own, i)).otherwise("")))
+    rest = F.when(hit.isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.select(*[rest.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

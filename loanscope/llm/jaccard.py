@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanscope.llm.common import materialize, release, ship, table
+from loanscope.llm.common import SPACED_WORD, ascii_lower, materialize, release, ship, table
 from loanscope.llm.components import components
 from loanscope.llm.shingles import hash_words, mix, shingle_hashes
 
@@ -250,6 +250,25 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id.
+    Documents without shingles are linked with nothing and stay, each row."""
+    stay = near_classes(docs, words, percent).where("n_shingles = 0 or doc_id = component_id")
+    stay = materialize(stay.groupBy(F.col("doc_id").alias("kept_id")).agg(
+        F.sum((F.col("n_shingles") > 0).cast("long")).alias("rows")), "jaccard-kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"])
+    whole = docs.join(stay.where("rows <= 1"), same, "left_semi")
+    if stay.where("rows > 1").isEmpty():
+        return whole
+    # Ids with several rows: those of equal words are one document.
+    words_in = F.array_join(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(SPACED_WORD),
+                                                 F.lit(0)), " ")
+    name = "words" + "_" * max(len(c) for c in docs.columns)    # no column of docs
+    several = docs.join(stay.where("rows > 1"), same, "left_semi").withColumn(name, words_in)
+    return whole.union(several.where(F.col(name) == "").drop(name)).union(
+        several.where(F.col(name) != "").dropDuplicates(["doc_id", name]).drop(name))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked documents among all documents."""
     return near_classes(table(spark, sf_dir, "documents"))

@@ -57,13 +57,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ep
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED,
-        keep: tuple[str, ...] = ()) -> DataFrame:
+        carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of ``docs``;
-    ``keep`` names further columns to carry."""
+    ``carry`` adds the row itself as the struct ``row``."""
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("h"),
-                                   *keep), "mix-rows")
-    rows = rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    wide = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("h"),
+                       F.substring(order, 1, BUCKET_DIGITS).alias("bucket"), F.struct(*docs.columns).alias("row"))
+    rows = materialize(wide.drop("row"), "mix-rows")
     targets = source_targets(rows, weights, budget, epochs)
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -74,13 +74,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int =
         .cast("long").alias("whole"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+    placed = (wide if carry else rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         plan, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
     rest = F.floor(F.col("target")) - F.col("whole") * F.col("source_size") - F.col("before") - F.col("inside")
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long")
-        .alias("taken"), *keep)
+        .alias("taken"), *(["row"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS,
+                    seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; the one document
+    of a source that is taken in part counts when half of it or more is."""
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = mix(docs, weights, budget, epochs, seed, carry=True).select("row", copies.alias("n")).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

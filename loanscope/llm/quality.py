@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,6 +204,18 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     return docs.select(*columns).mapInPandas(scored, f"{kinds}, score double")
 
 
+def keep_good(docs: DataFrame, model) -> DataFrame:
+    """The rows of ``docs`` with a score of THRESHOLD or more, unchanged."""
+    weights, trans, curve, prior = model
+
+    def good(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array(score_texts(texts, weights, trans, curve, prior) >= THRESHOLD))
+
+    return docs.mapInArrow(good, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
