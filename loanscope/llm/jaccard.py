@@ -253,7 +253,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id.
     Documents without shingles are linked with nothing and stay, each row."""
-    stay = near_classes(docs, words, percent).where("n_shingles = 0 or doc_id = component_id")
+    stay = near_classes(docs, words, percent).where("n_shingles = 0 or doc_id <=> component_id")
     stay = materialize(stay.groupBy(F.col("doc_id").alias("kept_id")).agg(
         F.sum((F.col("n_shingles") > 0).cast("long")).alias("rows")), "jaccard-kept")
     same = docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"])
