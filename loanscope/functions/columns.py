@@ -121,24 +121,23 @@ def positive_probability(prob_vector: ColumnOrName = "probability") -> Column:
     return vector_to_array(col(prob_vector)).getItem(1)
 
 
-def portable_hash(key: ColumnOrName, seed: int = 42) -> Column:
-    """Deterministic 31-bit hash of an integer key (two Lehmer steps mod 2^31-1).
+def portable_hash(key: ColumnOrName, seed: int = 42, draw: ColumnOrName | None = None) -> Column:
+    """Deterministic 31-bit hash of (key, seed[, draw]): the leading bits of an MD5.
 
-    Pure integer arithmetic that any SQL engine evaluates identically, so a
-    split or sample depends on keys only, never on partitioning.
-    """
-    m = 2147483647
-    k = F.pmod(col(key).cast("long"), F.lit(m))
-    h = F.pmod((k + F.lit(seed)) * F.lit(48271), F.lit(m))
-    return F.pmod((h + F.lit(seed * 7 + 1)) * F.lit(48271), F.lit(m))
+    Any SQL engine evaluates it identically, so a split or sample depends on
+    keys only, never on partitioning.  It is not linear: another seed is
+    another shuffle.  It takes text, so no 64-bit key overflows."""
+    parts = [col(key).cast("string"), F.lit(str(seed))] + ([col(draw).cast("string")] if draw is not None else [])
+    text = parts[0]
+    for x in parts[1:]:
+        text = F.concat(text, F.lit(":"), x)
+    return F.shiftright(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), 1)
 
 
-def portable_hash_sql(key: str, seed: int = 42) -> str:
+def portable_hash_sql(key: str, seed: int = 42, draw: str | None = None) -> str:
     """The same hash as SQL text (for the oracle)."""
-    m = 2147483647
-    k = f"((({key}) % {m} + {m}) % {m})"
-    h = f"((({k} + {seed}) * 48271) % {m})"
-    return f"((({h} + {seed * 7 + 1}) * 48271) % {m})"
+    text = f"CAST(({key}) AS VARCHAR) || ':{seed}'" + (f" || ':' || CAST(({draw}) AS VARCHAR)" if draw else "")
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) >> 1)"
 
 
 def coerce_numeric(c: ColumnOrName, to: str = "double", strict: bool = True) -> Column:

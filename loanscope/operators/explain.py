@@ -218,10 +218,9 @@ def tree_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
         key, *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in feats])
     bc = spark.sparkContext.broadcast(forest_arrays(rf))
     # Attribution costs O(trees x leaves x depth^2) per row, so spread rows over
-    # every core even when the input arrives in few partitions (AQE-coalesced);
+    # the session's shuffle partitions even when the input arrives in few;
     # round-robin, not by key: copies of one key must not pile into one task.
-    parts = max(spark.sparkContext.defaultParallelism, data.rdd.getNumPartitions())
-    data = data.repartition(parts)
+    data = data.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = bc.value

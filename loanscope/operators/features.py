@@ -113,6 +113,7 @@ def add_features(base: DataFrame, as_of: str) -> DataFrame:
 CATEGORICAL = ["Industry", "Region", "RiskGradeAtOrigination", "CreditScoreBand"]
 BAND_ORDER = ["Low", "Med", "High", "VeryHigh"]
 
+# The model's numeric features, in order.
 NUMERIC_FEATURES = [
     "LoanAmount", "InterestRate", "TermMonths", "YearsInBusiness", "AnnualRevenue", "CreditScore",
     "NumPayments", "AvgDaysLate", "PaymentRatio", "OutstandingAmount", "PastDueDays", "CumulativePayments",
@@ -132,8 +133,7 @@ def fit_levels(df: DataFrame, cols: list[str] = CATEGORICAL) -> dict[str, list[s
     row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
     levels = {c: list(row[c] or []) for c in cols}
     if "CreditScoreBand" in levels:
-        present = set(levels["CreditScoreBand"])
-        levels["CreditScoreBand"] = [b for b in BAND_ORDER if b in present]
+        levels["CreditScoreBand"] = list(BAND_ORDER)  # ordered category: absent bands keep their column
     return levels
 
 
@@ -154,14 +154,3 @@ def feature_columns(df: DataFrame, encoded: list[str], drop_leaky: bool = False)
     if drop_leaky:
         cols = [c for c in cols if c not in LEAKY_FEATURES]
     return cols
-
-
-def feature_table(loans: DataFrame, customers: DataFrame, repayments: DataFrame, snapshots: DataFrame,
-                  macro: DataFrame, as_of: str, levels: dict[str, list[str]] | None = None,
-                  drop_leaky: bool = False) -> tuple[DataFrame, list[str]]:
-    """Base table + engineered + one-hot columns; returns (frame, feature list)."""
-    feats = add_features(base_table(loans, customers, repayments, snapshots, macro), as_of)
-    if levels is None:
-        levels = fit_levels(feats)
-    encoded, names = one_hot(feats, levels)
-    return encoded, feature_columns(encoded, names, drop_leaky)

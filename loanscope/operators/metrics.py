@@ -5,10 +5,10 @@ All curve metrics first collapse the input to one row per *distinct* score
 by a third of all rows is one row before the exchange).  Prefix sums over the
 score order are computed without a single-partition window:
 
-1. approximate quantiles of the score cut the score axis into ``buckets``
-   ranges of similar row counts (a bounded list of cut points);
-2. per-bucket totals (<= buckets rows) get their running offsets from a
-   window over that small table, broadcast back (size bounded by ``buckets``);
+1. approximate quantiles of the score cut the score axis into ranges of about
+   ``BUCKET_ROWS`` distinct scores each;
+2. per-bucket totals (one row per ``BUCKET_ROWS`` distinct scores) get their
+   running offsets from a window over that small table and are joined back;
 3. inside each bucket a window partitioned by bucket adds the local prefix.
 
 Integer counts stay exact (DECIMAL(38,0) for products), and each metric is one
@@ -46,7 +46,11 @@ def _cut_points(hist: DataFrame, buckets: int) -> list[float]:
     return sorted({float(q) for q in qs})
 
 
-def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024,
+#: Distinct scores that one within-bucket window should hold.
+BUCKET_ROWS = 50_000
+
+
+def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int | None = None,
                materialize: bool = True) -> DataFrame:
     """Distinct-score table with prefix counts.
 
@@ -59,6 +63,8 @@ def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: i
     if materialize:
         ensure_checkpoint_dir(sc.sparkSession)
         hist = hist.checkpoint(eager=True)
+    if buckets is None:  # follows the data: no window holds much more than BUCKET_ROWS rows
+        buckets = hist.count() // BUCKET_ROWS + 1
     cuts = _cut_points(hist, buckets)
     splits = [float("-inf")] + (cuts or [0.5]) + [float("inf")]
     hb = Bucketizer(splits=splits, inputCol="_p", outputCol="_bk", handleInvalid="keep").transform(hist)
@@ -73,7 +79,7 @@ def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: i
         F.sum("_bneg").over(everything).alias("_tot_neg"),
     )
     within = Window.partitionBy("_bk").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    return (hb.join(F.broadcast(offsets), "_bk")
+    return (hb.join(offsets, "_bk")
             .select("_p", "_pos", "_neg", "_tot_pos", "_tot_neg",
                     (F.col("_pos_off") + F.coalesce(F.sum("_pos").over(within), F.lit(0))).alias("_pos_below"),
                     (F.col("_neg_off") + F.coalesce(F.sum("_neg").over(within), F.lit(0))).alias("_neg_below")))
@@ -100,17 +106,22 @@ def _ap_expr() -> Column:
     return F.coalesce(F.sum(term), F.lit(0.0))
 
 
-def roc_auc(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+def roc_auc(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int | None = None) -> DataFrame:
     """ROC_AUC: P(score_pos > score_neg) + 0.5 P(tie) (Mann-Whitney), exact counts."""
     return cumulative(sc, label, score, buckets).agg(_auc_expr().alias("ROC_AUC"))
 
 
-def average_precision(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+def average_precision(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int | None = None) -> DataFrame:
     """AvgPrecision: step-wise sum of (recall increment) x precision, thresholds descending."""
     return cumulative(sc, label, score, buckets).agg(_ap_expr().alias("AvgPrecision"))
 
 
-def pr_curve(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+def auc_and_ap(sc: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFrame:
+    """AUC, AP from one pass over the scored rows."""
+    return cumulative(sc, label, score).agg(_auc_expr().alias("AUC"), _ap_expr().alias("AP"))
+
+
+def pr_curve(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int | None = None) -> DataFrame:
     """Threshold, Precision, Recall: one row per distinct score plus the end point
     (Threshold NULL, Precision 1, Recall 0).  Recall is 1 when there are no positives."""
     c = cumulative(sc, label, score, buckets)
@@ -143,7 +154,7 @@ def best_f1_of(c: DataFrame) -> DataFrame:
                       "F1", "Threshold")
 
 
-def best_f1(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+def best_f1(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: int | None = None) -> DataFrame:
     """Threshold, Precision, Recall, F1 of the maximum-F1 threshold (lowest threshold on ties).
 
     The end point (F1 = 0) only wins on an empty input, where the caller falls
@@ -254,7 +265,7 @@ def calibration(sc: DataFrame, bins: int = 10, label: str = LABEL, score: str =
 
 
 def eval_summary(sc: DataFrame, threshold: float | Column | None, model: str, population: DataFrame | None = None,
-                 label: str = LABEL, score: str = SCORE, buckets: int = 1024) -> DataFrame:
+                 label: str = LABEL, score: str = SCORE, buckets: int | None = None) -> DataFrame:
     """Model, ROC_AUC, AvgPrecision_PR_AUC, Precision, Recall, Accuracy, DefaultRate, TestSize, Threshold.
 
     One aggregate over the distinct-score table; the threshold defaults to the

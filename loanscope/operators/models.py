@@ -76,12 +76,15 @@ def _prepared(features: list[str], nullable: list[str]) -> tuple[list, list[str]
     return stages, cols
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Training scans its input once per iteration / tree level: give it at
-    least one partition per core (a no-op at scale, where inputs already have
-    many partitions; small AQE-coalesced inputs would otherwise train on one)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Partitions of a training frame.  Bagging seeds follow partitions and row
+#: order, so the layout is fixed by key and by this number, never by the cores;
+#: raise it with the data (a model then differs, as with another seed).
+TRAIN_PARTITIONS = 16
+
+
+def laid_out(df: DataFrame, key: str = "LoanID", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """The training rows dealt and sorted by key."""
+    return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
 def as_double_features(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
@@ -102,7 +105,7 @@ def train_logistic(train: DataFrame, features: list[str], weight: str | None = "
                    max_iter: int = 1000, seed: int = 42) -> Fitted:
     """L2 logistic regression on standardised features; with balanced weights the
     penalty 1/(2C)||w||^2 over the weighted log-loss sum maps to regParam = 1/(C*sum w)."""
-    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total_w = data.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1.0
         stages, _ = _prepared(features, features)
@@ -121,7 +124,7 @@ def train_forest(train: DataFrame, features: list[str], weight: str | None = "we
                  max_depth: int = 30, min_instances: int = 1, subset: str = "sqrt", seed: int = 42,
                  max_bins: int = 32, name: str = "RandomForest") -> Fitted:
     """Random forest (Gini); max_depth None in the reference maps to Spark's cap of 30."""
-    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
@@ -144,13 +147,13 @@ SEARCH_SPACE = {
 }
 
 
-def random_search(train: DataFrame, features: list[str], fold_col: str = "fold", n_iter: int = 20, seed: int = 42,
+def random_search(train: DataFrame, features: list[str], fold_col: str = "fold", folds: int = 3, n_iter: int = 20, seed: int = 42,
                   weight: str | None = "weight", parallelism: int = 4,
                   space: dict[str, list] | None = None) -> tuple[Fitted, list[tuple[dict, float]]]:
     """Seeded sample of ``n_iter`` grid points, k-fold CV on the given stratified
-    folds (ROC-AUC), refit of the best on all training rows."""
+    folds 0 to ``folds`` - 1 (exact ROC-AUC), refit of the best on all training rows."""
     space = space or SEARCH_SPACE
-    data = _spread(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = _prepared(features, features)
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, impurity="gini")
@@ -163,7 +166,8 @@ def random_search(train: DataFrame, features: list[str], fold_col: str = "fold",
         rng = random.Random(seed)
         chosen = rng.sample(points, min(n_iter, len(points)))
         cv = CrossValidator(estimator=Pipeline(stages=stages + [rf]), estimatorParamMaps=chosen,
-                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
+                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0),
+                            numFolds=folds,
                             foldCol=fold_col, parallelism=parallelism, seed=seed)
         cvm = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
         results = [({p.name: v for p, v in pm.items()}, float(m)) for pm, m in zip(chosen, cvm.avgMetrics)]
@@ -203,8 +207,7 @@ def model_comparison(scored: dict[str, DataFrame], label: str = LABEL) -> DataFr
 
     out = None
     for name, sc in scored.items():
-        row = (E.roc_auc(sc, label, "PredProb").select(F.lit(name).alias("Model"), F.col("ROC_AUC").alias("AUC"))
-               .join(E.average_precision(sc, label, "PredProb").select(F.col("AvgPrecision").alias("AP")), how="inner"))
+        row = E.auc_and_ap(sc, label, "PredProb").select(F.lit(name).alias("Model"), "AUC", "AP")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -214,14 +217,6 @@ def choose(comparison: DataFrame, metric: str = "AUC") -> str:
     return comparison.orderBy(F.desc(metric), "Model").first()["Model"]
 
 
-def assemble(df: DataFrame, features: list[str], key: str = "LoanID", label: str = LABEL) -> DataFrame:
-    """key, features (vector), label — NULL features imputed by the caller's pipeline;
-    here NULLs fail loudly (``handleInvalid='error'``) so nothing is silently dropped."""
-    data = as_double_features(df, features, label)
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(data).select(
-        key, "features", "label")
-
-
 def standardize_with(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
     """Scale ``cols`` of ``df`` with the mean / population std of ``train``."""
     return standardize(df, fit_standardizer(train, cols))

@@ -115,8 +115,8 @@ def orphan_count(child: DataFrame, parent: DataFrame, key: str, alias: str) -> D
 
 
 def fk_violations(child: DataFrame, parent: DataFrame, key: str, rule: str) -> DataFrame:
-    """Rule, Violations for one foreign key."""
-    return orphan_count(child, parent, key, "Violations").select(F.lit(rule).alias("Rule"), "Violations")
+    """Rule, Violations for one foreign key (a NULL key passes, as in SQL)."""
+    return orphan_count(child.filter(F.col(key).isNotNull()), parent, key, "Violations").select(F.lit(rule).alias("Rule"), "Violations")
 
 
 def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:

@@ -154,5 +154,6 @@ def with_customer_dims(sc: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def align_scores(base: DataFrame, sc: DataFrame, key: str = "LoanID") -> DataFrame:
-    """Base rows aligned with their scores by key (Spark rows have no positional index)."""
-    return base.join(sc, key, "inner")
+    """Base rows aligned with their scores by key (Spark rows have no positional
+    index); an unscored row stays, with a NULL score."""
+    return base.join(sc, key, "left")

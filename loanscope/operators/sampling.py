@@ -88,15 +88,9 @@ def _walk(totals: list[tuple[int, int]], rest: int) -> tuple[int, int]:
     raise AssertionError("cut beyond the class size")
 
 
-def segment(df: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]], seed: int = 42,
-            out: str = "_segment", materialize: bool = True) -> DataFrame:
-    """df + ``out``: the number of cut ranks strictly before the row's rank in
-    its class (hash order); ``cuts(n_class)`` gives the sorted inclusive cut ranks.
-
-    Three small aggregate jobs for all classes and cuts together (coarse range
-    counts, fine range counts inside the selected coarse ranges, key counts
-    inside the selected fine ranges), then one row-local expression."""
-    x = _with_order(df, key, seed, materialize)
+def _locate(x: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]]) -> list[list]:
+    """One list per class and cut: [class, cut, None, None] for a cut at an end of
+    the class, else [class, cut, coarse, rest, fine, rest, (hash, key, row id)]."""
     coarse_rows = x.groupBy(label, _coarse().alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     coarse: dict = {}
     for r in coarse_rows:
@@ -142,6 +136,26 @@ def segment(df: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]
                     w.append((h, kval, mid))
                     break
                 rest -= n
+    return wanted
+
+
+def segment(df: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]], seed: int = 42,
+            out: str = "_segment", materialize: bool = True) -> DataFrame:
+    """df + ``out``: the number of cut ranks strictly before the row's rank in
+    its class (hash order); ``cuts(n_class)`` gives the sorted inclusive cut ranks.
+
+    Three small aggregate jobs for all classes and cuts together (coarse range
+    counts, fine range counts inside the selected coarse ranges, key counts
+    inside the selected fine ranges) over the key and the label alone, then one
+    row-local expression on the rows as they are."""
+    columns = list(dict.fromkeys([label, key]))
+    wanted = _locate(_with_order(df.select(*columns), key, seed, materialize), label, key, cuts)
+    if any(w[2] is not None and w[-1][2] is not None for w in wanted):
+        # A cut among the copies of one key: row ids tell them apart, so they must stay fixed.
+        x = _with_order(df, key, seed, True)
+        wanted = _locate(x, label, key, cuts)
+    else:
+        x = df.withColumn("_h", portable_hash(key, seed))
     per_class: dict = {}
     for w in wanted:
         cls, c = w[0], w[1]

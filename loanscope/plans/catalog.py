@@ -69,7 +69,7 @@ def split(b: LoanBook) -> DataFrame:
 
 def scored_base(b: LoanBook) -> DataFrame:
     """Base table + the scorecard's PredProb (the scored portfolio)."""
-    return base(b).join(b.scored.select("LoanID", "PredProb"), "LoanID", "inner")
+    return base(b).join(b.scored.select("LoanID", "PredProb"), "LoanID", "left")
 
 
 def best_t(b: LoanBook):
@@ -474,9 +474,11 @@ def score_rows(sb: DataFrame, threshold: float) -> DataFrame:
 @register("k2_upsert_scores")
 def _k2(spark, b):
     """Scores of the pre-1998 book (earlier run) merged with a re-score of loans from 1997 on."""
-    sb = scored_base(b).checkpoint(eager=True)  # read by both sides of the merge
+    sb = scored_base(b).select("LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", "PredProb",
+                               "OriginationDate").checkpoint(eager=True)  # read by both sides of the merge
+    early = F.col("OriginationDate").isNull() | (F.col("OriginationDate") < F.lit(TARGET_BEFORE).cast("date"))
     target = U.with_load_timestamp(
-        score_rows(sb.filter(F.col("OriginationDate") < F.lit(TARGET_BEFORE).cast("date")), PRIOR_THRESHOLD),
+        score_rows(sb.filter(early), PRIOR_THRESHOLD),
         "ScoreDate", PRIOR_SCORE_TS)
     target = readers.as_table(target, schemas.SCORES)
     updates = score_rows(sb.filter(F.col("OriginationDate") >= F.lit(UPDATES_FROM).cast("date")), NEW_THRESHOLD)
@@ -484,8 +486,9 @@ def _k2(spark, b):
 
 
 # ---- models (pyspark.ml) ---------------------------------------------------------------------------
-# Fitted models are cached per (session, sf_dir) so the model-based entries
-# share one fit each; every fit is seeded, so the cache never changes results.
+# Fitted models are cached per (session, input files) so the model-based entries
+# share one fit each; fits are seeded and laid out by key, so the same rows give
+# the same model whatever the partitions or cores.
 
 
 # Registered model settings (a point of the search grid, and a small search).
@@ -559,7 +562,7 @@ def _m6(spark, b):
     """Params, AvgAUC of the sampled grid points (stratified folds), best first."""
     def build():
         train = S.add_folds(_train_weighted(spark, b), k=SEARCH_FOLDS)
-        best, results = M.random_search(train, training_frame(spark, b)[1], n_iter=SEARCH_N_ITER)
+        best, results = M.random_search(train, training_frame(spark, b)[1], folds=SEARCH_FOLDS, n_iter=SEARCH_N_ITER)
         return best, results
     best, results = _cached(spark, b, "search", build)
     rows = [(str(sorted(p.items())), auc) for p, auc in results]
@@ -573,9 +576,10 @@ def _m9(spark, b):
 
 @register("m10_score_all")
 def _m10(spark, b):
-    """Every loan scored by the chosen model: the PredictedLoanScores rows."""
+    """Every loan scored at the forest's max-F1 threshold: the PredictedLoanScores rows."""
     enc, _ = training_frame(spark, b)
-    sc = M.score(forest(spark, b), enc, 0.5, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount"])
+    threshold = E.best_threshold(M.score(forest(spark, b), _test(spark, b), None))
+    sc = M.score(forest(spark, b), enc, threshold, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount"])
     return U.with_load_timestamp(sc, "ScoreDate", UPSERT_TS)
 
 

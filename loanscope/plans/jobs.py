@@ -89,7 +89,7 @@ def model_job(spark: SparkSession, book: LoanBook, out: str, cfg: ModelJobConfig
 
     lr = M.train_logistic(weighted, cols)
     if cfg.search_iter > 0:
-        rf, search = M.random_search(S.add_folds(weighted, k=cfg.search_folds), cols, n_iter=cfg.search_iter)
+        rf, search = M.random_search(S.add_folds(weighted, k=cfg.search_folds), cols, folds=cfg.search_folds, n_iter=cfg.search_iter)
     else:
         rf, search = M.train_forest(weighted, cols, **cfg.forest), []
     imputed = M.as_double_features(train, cols)

@@ -234,8 +234,8 @@ def _smote_sql(k: int = 5, ratio: float = 0.3, seed: int = 42) -> str:
     base_out = ", ".join(f'{rnd(f"x{i}", c)} AS "{c}"' for i, c in enumerate(names))
     syn_out = ", ".join(f'{rnd(f"d.x{i} + d.u * (nb.x{i} - d.x{i})", c)} AS "{c}"' for i, c in enumerate(names))
     h_key = portable_hash_sql("LoanID", seed)
-    h_nb = portable_hash_sql("(LoanID * 1009 + t)", seed)
-    h_u = portable_hash_sql("(LoanID * 7919 + t)", seed + 1)
+    h_nb = portable_hash_sql("LoanID", seed, "t")
+    h_u = portable_hash_sql("LoanID", seed + 1, "t")
     return f"""
 WITH tr AS (SELECT f.LoanID, f.DefaultFlag, {", ".join(cols)} FROM v_feat f JOIN v_split s ON s.LoanID = f.LoanID WHERE s.IsTest = 0),
 mm AS (SELECT {means} FROM tr),
@@ -250,7 +250,7 @@ rk AS (SELECT mi.*, row_number() OVER (ORDER BY {h_key}, LoanID) AS r FROM mi),
 cp AS (SELECT rk.*, nd.need // nd.mino + CASE WHEN r <= nd.need % nd.mino THEN 1 ELSE 0 END AS copies FROM rk, nd),
 dr AS (SELECT cp.*, unnest(range(CAST(0 AS BIGINT), CAST(copies AS BIGINT))) AS t FROM cp WHERE copies > 0),
 dr2 AS (SELECT dr.*, CAST(({h_nb}) % {k} + 1 AS BIGINT) AS nrank,
-           CAST({h_u} AS DOUBLE) / CAST(2147483647 AS DOUBLE) AS u FROM dr)
+           CAST({h_u} AS DOUBLE) / CAST(2147483648 AS DOUBLE) AS u FROM dr)
 SELECT LoanID, DefaultFlag, {base_out}, 0 AS Synthetic FROM trf
 UNION ALL
 SELECT CAST(-(d.LoanID * (nd.need // nd.mino + 2) + d.t + 1) AS BIGINT) AS LoanID, 1 AS DefaultFlag, {syn_out}, 1 AS Synthetic

@@ -46,10 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint root; create a private one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value
-    always wins.  Only local runs (tests, bench) reach the fallback.
+    always wins.  Only local runs (tests, bench) reach the fallback; on any
+    other master an unset folder is an error, since each executor would write
+    to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not current and not sc.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="loanscope-ckpt-")  # local runs only: nothing named one
     if not sc.getCheckpointDir():

@@ -76,7 +76,7 @@ FROM (SELECT p.LoanID, p.SnapshotDate, p.PastDueDays, l.LoanAmount, l.Status,
     "v_scored": """
 SELECT l.LoanID, l.CustomerID, l.LoanAmount, CASE WHEN l.Status='Defaulted' THEN 1 ELSE 0 END AS DefaultFlag,
   CAST(LEAST(GREATEST(900-c.CreditScore,0) + (l.LoanID*31 % 200), 800) AS DOUBLE)/1000 AS PredProb
-FROM v_loans l JOIN v_customers c ON l.CustomerID=c.CustomerID
+FROM v_loans l LEFT JOIN v_customers c ON l.CustomerID=c.CustomerID
 """,
     "v_stressed": """
 SELECT n.Scenario, t.LoanID, t.LoanAmount,

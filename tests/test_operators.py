@@ -95,7 +95,8 @@ def test_split_with_hot_key_copies(spark):
     # unique keys follow the (hash, key) order exactly
     import pandas as pd
     pdf = out.toPandas()
-    pdf["h"] = [((((k % 2147483647) + 42) * 48271 % 2147483647) + 42 * 7 + 1) * 48271 % 2147483647 for k in pdf.LoanID]
+    import hashlib
+    pdf["h"] = [int(hashlib.md5(f"{k}:42".encode()).hexdigest()[:8], 16) >> 1 for k in pdf.LoanID]
     for label, g in pdf.groupby("DefaultFlag"):
         g = g.sort_values(["h", "LoanID"])
         flags = list(g.IsTest)

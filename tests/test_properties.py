@@ -1,5 +1,6 @@
 """Randomised properties (hypothesis, few examples: each one runs Spark jobs)."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,10 +17,7 @@ SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=[Health
 
 
 def _h(k: int, seed: int = 42) -> int:
-    m = 2147483647
-    x = (k % m + m) % m
-    x = ((x + seed) * 48271) % m
-    return ((x + seed * 7 + 1) * 48271) % m
+    return int(hashlib.md5(f"{k}:{seed}".encode()).hexdigest()[:8], 16) >> 1
 
 
 @SETTINGS
