@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RAW_TABLES = ("region", "nation", "customer", "orders", "lineitem")
 
@@ -158,9 +159,16 @@ def spark_view_sql(name: str) -> str:
     return text
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
+    """Views over the raw files; a path's schema is read once, not once a query."""
     for t in RAW_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(SPARK_PREFIX + t)
+        path = f"{sf_dir}/{t}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        spark.read.schema(_SCHEMAS[path]).parquet(path).createOrReplaceTempView(SPARK_PREFIX + t)
 
 
 def load_book(spark: SparkSession, sf_dir: str) -> LoanBook:
