@@ -41,13 +41,12 @@ except Exception:  # pragma: no cover - older cloudpickle: ship the package with
 
 def linear_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
     """key, Feature, Value, Phi, BaseValue for the logistic pipeline
-    (Imputer? -> VectorAssembler -> StandardScaler -> LogisticRegression).
+    (Imputer -> scaling of the numeric features -> VectorAssembler -> LogisticRegression).
     sum(Phi) + BaseValue equals the model margin w.z + b of each row."""
     stages = fitted.model.stages
-    lr, scaler = stages[-1], stages[-2]
+    lr = stages[-1]
     imputer = stages[0] if isinstance(stages[0], ImputerModel) else None
     w = lr.coefficients.toArray()
-    mu, sd = scaler.mean.toArray(), scaler.std.toArray()
     fill = {}
     if imputer is not None:
         sur = imputer.surrogateDF.first().asDict()
@@ -58,7 +57,8 @@ def linear_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame
         x = F.col(c)
         if c in fill:
             x = F.coalesce(x, F.lit(fill[c]))
-        z = (x - F.lit(float(mu[j]))) / F.lit(float(sd[j]) if sd[j] != 0 else 1.0) if sd[j] != 0 else F.lit(0.0)
+        mean, std = fitted.scale.get(c, (0.0, 1.0))
+        z = (x - F.lit(float(mean))) / F.lit(float(std))
         cells.append(F.struct(F.lit(c).alias("Feature"), x.alias("Value"), (F.lit(float(w[j])) * z).alias("Phi")))
     return data.select(key, F.inline(F.array(*cells))).withColumn("BaseValue", F.lit(float(lr.intercept)))
 

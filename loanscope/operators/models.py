@@ -11,18 +11,19 @@ of features or classes and travel to the executors as literals.
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.columns import positive_probability
+from loanscope.operators.features import NUMERIC_FEATURES
 
 LABEL = "DefaultFlag"
 
@@ -99,25 +100,36 @@ class Fitted:
     model: PipelineModel
     features: list[str]
     name: str
+    #: (mean, population std) of the features that the model scales.
+    scale: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
 def train_logistic(train: DataFrame, features: list[str], weight: str | None = "weight", c: float = 1.0,
                    max_iter: int = 1000, seed: int = 42) -> Fitted:
-    """L2 logistic regression on standardised features; with balanced weights the
-    penalty 1/(2C)||w||^2 over the weighted log-loss sum maps to regParam = 1/(C*sum w)."""
+    """L2 logistic regression; the numeric features are standardised as in M2 (mean
+    and population std of the training rows), one-hot columns stay 0/1.  With
+    balanced weights the penalty 1/(2C)||w||^2 over the weighted log-loss sum maps
+    to regParam = 1/(C*sum w)."""
     data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total_w = data.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1.0
-        stages, _ = _prepared(features, features)
+        imputer = _prepared(features, features)[0][0]
+        filled = {c: f"{c}__imp" for c in features}
+        numeric = [c for c in features if c in NUMERIC_FEATURES]
+        stats = fit_standardizer(imputer.fit(data).transform(data), [filled[c] for c in numeric])
+        scale = {c: stats[filled[c]] for c in numeric}
+        scaled = SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"(`{filled[c]}` - {m!r}D) / {s!r}D AS `{c}__std`" for c, (m, s) in scale.items()) + " FROM __THIS__")
+        vector = VectorAssembler(inputCols=[f"{c}__std" if c in scale else filled[c] for c in features],
+                                 outputCol="scaled", handleInvalid="error")
         lr = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=max_iter, regParam=1.0 / (c * total_w),
                                 elasticNetParam=0.0, standardization=False, tol=1e-6)
         if weight:
             lr.setWeightCol(weight)
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-        model = Pipeline(stages=stages + [scaler, lr]).fit(data)
+        model = Pipeline(stages=[imputer, *([scaled] if scale else []), vector, lr]).fit(data)
     finally:
         data.unpersist()
-    return Fitted(model, features, "LogisticRegression")
+    return Fitted(model, features, "LogisticRegression", scale)
 
 
 def train_forest(train: DataFrame, features: list[str], weight: str | None = "weight", num_trees: int = 200,
