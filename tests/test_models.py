@@ -165,3 +165,30 @@ def test_knn_hot_copy_group_and_small_copy_group(spark):
         want = [int(keys[j]) for j in sorted(range(n), key=lambda j: (D[i, j], keys[j]))[:5]]
         have = list(got[got.LoanID == keys[i]].sort_values("Rank").Neighbor)
         assert have == want, (i, have, want)
+
+
+def _tiny_book(spark, n=400):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, int(rng.random() < 0.3), rng.random(), rng.random(), i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "LoanID long, DefaultFlag int, a double, b double, d int")
+
+
+@pytest.mark.parametrize("parts", [2, 4, 9])
+def test_forest_does_not_follow_input_partitions(spark, parts):
+    df = _tiny_book(spark)
+    args = dict(weight=None, num_trees=10, max_depth=4)
+    want = {r.LoanID: r.PredProb for r in M.score(M.train_forest(df.repartition(1), ["a", "b"], **args), df, None).collect()}
+    got = {r.LoanID: r.PredProb for r in M.score(M.train_forest(df.repartition(parts), ["a", "b"], **args), df, None).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_random_search_takes_any_number_of_folds(spark, k):
+    from loanscope.operators import sampling as S
+
+    df = S.add_folds(_tiny_book(spark), k=k)
+    space = {"numTrees": [3], "maxDepth": [2, 3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    _, results = M.random_search(df, ["a", "b"], folds=k, n_iter=2, weight=None, space=space)
+    assert len(results) == 2 and all(0 <= auc <= 1 for _, auc in results)

@@ -12,6 +12,7 @@ from loanscope.operators import metrics as E
 from loanscope.operators import quality as Q
 from loanscope.operators import risk as R
 from loanscope.operators import sampling as S
+from loanscope.operators import smote as SM
 from loanscope.operators import upsert as U
 from loanscope.plans import catalog as CAT
 from loanscope.sources.fixtures import AS_OF
@@ -269,3 +270,42 @@ def test_seeded_sample_with_copies_is_repeatable(spark):
     a = [tuple(r) for r in S.seeded_sample(df.repartition(3), "LoanID", 30).collect()]
     b = [tuple(r) for r in S.seeded_sample(df.repartition(7), "LoanID", 30).collect()]
     assert a == b
+
+
+def test_seeds_give_unrelated_orders():
+    """Another seed is another shuffle, not a rotation of the same one."""
+    import hashlib
+
+    h = [[int(hashlib.md5(f"{k}:{s}".encode()).hexdigest()[:8], 16) >> 1 for k in range(2000)] for s in (42, 43)]
+    a, b = np.argsort(np.argsort(h[0])), np.argsort(np.argsort(h[1]))
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.1 and len({(y - x) % (1 << 31) for x, y in zip(*h)}) > 1900
+
+
+def test_smote_takes_large_keys(spark):
+    big = 5 * 10 ** 15
+    rows = [(big + i, int(i < 10), float(i % 7), float(i % 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "LoanID long, DefaultFlag int, x double, y double")
+    out = SM.smote(df, ["x", "y"], ratio=0.3, k=3)
+    assert out.filter("Synthetic = 1").count() == 27 - 10
+    assert out.filter("Synthetic = 1").select("LoanID").distinct().count() == 17
+
+
+def test_upsert_keeps_columns_that_the_update_lacks(spark):
+    target = spark.createDataFrame([(1, 10, 0.5), (2, 20, 0.6)], "LoanID long, CustomerID long, PredProb double")
+    updates = spark.createDataFrame([(1, 0.9), (3, 0.1)], "LoanID long, PredProb double")
+    got = sorted(tuple(r) for r in U.upsert(target, updates).collect())
+    assert got == [(1, 10, 0.9), (2, 20, 0.6), (3, None, 0.1)]
+
+
+def test_one_hot_keeps_the_band_order_when_low_is_absent(spark):
+    df = spark.createDataFrame([(1, "Med"), (2, "High")], "LoanID long, CreditScoreBand string")
+    enc, names = FT.one_hot(df, FT.fit_levels(df, ["CreditScoreBand"]))
+    assert names == ["CreditScoreBand_Med", "CreditScoreBand_High", "CreditScoreBand_VeryHigh"]
+    assert enc.filter("LoanID = 1").first()["CreditScoreBand_Med"] == 1
+
+
+def test_foreign_keys_let_null_pass(spark):
+    child = spark.createDataFrame([(1,), (None,), (9,)], "k long")
+    parent = spark.createDataFrame([(1,)], "k long")
+    assert Q.fk_violations(child, parent, "k", "r").first()["Violations"] == 1
+    assert Q.orphan_count(child, parent, "k", "n").first()["n"] == 2
