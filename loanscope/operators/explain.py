@@ -201,10 +201,28 @@ def forest_shap_values(trees: list[dict[str, np.ndarray]], X: np.ndarray) -> tup
 
 
 def tree_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
-    """key, Feature, Value, Phi, BaseValue for the forest pipeline's input rows.
+    """key, Feature, Value, Phi, BaseValue: ``tree_shap_rows`` in long form."""
+    return long_form(tree_shap_rows(fitted, df, key), fitted.features, key)
+
+
+def long_form(rows: DataFrame, features: list[str], key: str = "LoanID") -> DataFrame:
+    """One row a feature from one row a loan."""
+    cells = [F.struct(F.lit(c).alias("Feature"), F.get("Values", F.lit(i)).alias("Value"),
+                      F.get("Phis", F.lit(i)).alias("Phi")) for i, c in enumerate(features)]
+    return rows.select(key, "BaseValue", F.inline(F.array(*cells))).select(key, "Feature", "Value", "Phi", "BaseValue")
+
+
+#: Bytes of forest arrays that may be broadcast.
+MAX_FOREST_BYTES = 1 << 30
+
+
+def tree_shap_rows(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
+    """key, Values, Phis (arrays in feature order), BaseValue: one row per input row
+    of the forest pipeline.
 
     Inputs are imputed exactly as the pipeline does (train means), the forest
-    arrays are broadcast once, and each Arrow batch is explained in numpy."""
+    arrays are broadcast once (a forest too large for that is an error), and each
+    Arrow batch is explained in numpy."""
     spark = df.sparkSession
     stages = fitted.model.stages
     rf = stages[-1]
@@ -216,7 +234,11 @@ def tree_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
     feats = list(fitted.features)
     data = as_double_features(df, feats).select(
         key, *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in feats])
-    bc = spark.sparkContext.broadcast(forest_arrays(rf))
+    arrays = forest_arrays(rf)
+    size = sum(a.nbytes for t in arrays for a in t.values() if hasattr(a, "nbytes"))
+    if size > MAX_FOREST_BYTES:
+        raise ValueError(f"the forest takes {size} bytes, more than MAX_FOREST_BYTES = {MAX_FOREST_BYTES}")
+    bc = spark.sparkContext.broadcast(arrays)
     # Attribution costs O(trees x leaves x depth^2) per row, so spread rows over
     # the session's shuffle partitions even when the input arrives in few;
     # round-robin, not by key: copies of one key must not pile into one task.
@@ -229,16 +251,10 @@ def tree_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
                 continue
             X = pdf[feats].to_numpy(dtype=float)
             phi, base = forest_shap_values(trees, X)
-            m = len(feats)
-            yield pd.DataFrame({
-                key: np.repeat(pdf[key].to_numpy(), m),
-                "Feature": np.tile(np.array(feats, dtype=object), len(pdf)),
-                "Value": X.reshape(-1),
-                "Phi": phi.reshape(-1),
-                "BaseValue": np.full(len(pdf) * m, base),
-            })
-
-    schema = f"{key} long, Feature string, Value double, Phi double, BaseValue double"
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "Values": list(X), "Phis": list(phi),
+                                "BaseValue": np.full(len(pdf), base)})
+
+    schema = f"{key} long, Values array<double>, Phis array<double>, BaseValue double"
     return data.mapInPandas(explain, schema)
 
 
@@ -248,6 +264,19 @@ def shap_summary(phi: DataFrame) -> DataFrame:
             .orderBy(F.desc("MeanAbsPhi"), "Feature"))
 
 
+def summary_of_rows(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``shap_summary`` straight from one row a loan: one aggregate, no explode."""
+    means = rows.agg(*[F.avg(F.abs(F.get("Phis", F.lit(i)))).alias(f"m{i}") for i in range(len(features))])
+    cells = [F.struct(F.lit(c).alias("Feature"), F.col(f"m{i}").alias("MeanAbsPhi")) for i, c in enumerate(features)]
+    return means.select(F.inline(F.array(*cells))).orderBy(F.desc("MeanAbsPhi"), "Feature")
+
+
+def dependence_of_rows(rows: DataFrame, features: list[str], feature: str) -> DataFrame:
+    """(Value, Phi) of one feature from one row a loan."""
+    i = F.lit(features.index(feature))
+    return rows.select(F.get("Values", i).alias("Value"), F.get("Phis", i).alias("Phi"))
+
+
 def dependence(phi: DataFrame, feature: str, bins: int | None = None) -> DataFrame:
     """(Value, Phi) of one feature; with ``bins`` the mean Phi per value bin
     (equal-width over the observed range) for plotting large tables."""

@@ -637,6 +637,47 @@ def _k5(spark, b):
     return spark.read.schema(schema).json(path).withColumn("AvgPrecision_PR_AUC", F.round("AvgPrecision_PR_AUC", 12))
 
 
+@register("k4_model_metrics_csv")
+def _k4m(spark, b):
+    """Metrics export of the fitted forest, written and read back."""
+    path = scratch_path(spark, "model-metrics-csv")
+    sinks.write_metrics_csv(REGISTRY_RAW["e9_model_eval_summary"](spark, b), path)
+    schema = "Model string, ROC_AUC double, Precision double, Recall double, Accuracy double, Threshold double, TestSize long"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("k5_model_eval_json")
+def _k5m(spark, b):
+    """Evaluation export of the fitted forest with the logistic baseline's accuracy at 0.5."""
+    path = scratch_path(spark, "model-eval-json")
+    sinks.write_eval_json(REGISTRY_RAW["e9_model_eval_summary"](spark, b), path)
+    schema = ("Model string, ROC_AUC double, AvgPrecision_PR_AUC double, DefaultRate double, TestSize long, "
+              "ThresholdUsed double")
+    base = E.point_metrics(REGISTRY_RAW["m4_logistic_scores"](spark, b), 0.5).select(
+        F.col("Accuracy").alias("accuracy_baseline"))
+    return spark.read.schema(schema).json(path).withColumn("accuracy_baseline", base.scalar())
+
+
+@register("m4_all_features_scores")
+def _m4a(spark, b):
+    """Logistic scores on the full list of 20 numeric features (leaky ones included)."""
+    def build():
+        f = FT.add_features(split(b), AS_OF)
+        enc, names = FT.one_hot(f, FT.fit_levels(f))
+        enc = enc.checkpoint(eager=True)
+        feats = FT.feature_columns(enc, names, drop_leaky=False)
+        return M.train_logistic(M.balanced_weights(enc.filter("IsTest = 0")), feats), enc
+    fitted, enc = _cached(spark, b, "logistic_all", build)
+    return M.score(fitted, enc.filter("IsTest = 1"), 0.5)
+
+
+@register("m11_chosen_model")
+def _m11c(spark, b):
+    """The model that the comparison chooses by AUC."""
+    name = M.choose(REGISTRY_RAW["m11_model_comparison"](spark, b), "AUC")
+    return spark.createDataFrame([(name,)], "Model string")
+
+
 @register("x2_linear_shap")
 def _x2(spark, b):
     """Exact attributions of the logistic model (margin space) for every loan."""
@@ -644,27 +685,28 @@ def _x2(spark, b):
 
 
 def _tree_phi(spark, b) -> DataFrame:
+    """One row a loan, written once; X1, X3 and X4 read it."""
     def build():
-        return X.tree_shap(forest(spark, b), training_frame(spark, b)[0]).checkpoint(eager=True)
+        return X.tree_shap_rows(forest(spark, b), training_frame(spark, b)[0]).checkpoint(eager=True)
     return _cached(spark, b, "tree_phi", build)
 
 
 @register("x1_tree_shap")
 def _x1(spark, b):
     """TreeSHAP attributions of the forest for every loan (long form)."""
-    return _tree_phi(spark, b)
+    return X.long_form(_tree_phi(spark, b), forest(spark, b).features)
 
 
 @register("x3_shap_summary")
 def _x3(spark, b):
-    return X.shap_summary(_tree_phi(spark, b))
+    return X.summary_of_rows(_tree_phi(spark, b), forest(spark, b).features)
 
 
 @register("x4_dependence")
 def _x4(spark, b):
     """(Value, Phi) of the top-importance feature."""
     top = M.top_features(M.importances(forest(spark, b), spark), 1).first()["Feature"]
-    return X.dependence(_tree_phi(spark, b), top)
+    return X.dependence_of_rows(_tree_phi(spark, b), forest(spark, b).features, top)
 
 
 # ---- oversampling ----------------------------------------------------------------------------------

@@ -68,7 +68,7 @@ def _test_scores(name: str):
     return run
 
 
-for _n in ("m4_logistic_scores", "m5_forest_scores", "m8_smote_forest_scores"):
+for _n in ("m4_logistic_scores", "m4_all_features_scores", "m5_forest_scores", "m8_smote_forest_scores"):
     register(f"chk_{_n}")(_test_scores(_n))
 
 
@@ -91,7 +91,7 @@ _ALL = "SELECT COUNT(*) AS Loans, CAST(0 AS BIGINT) AS Violations FROM v_base"
 _TEST = "SELECT COUNT(*) AS Loans, CAST(0 AS BIGINT) AS Violations FROM v_split WHERE IsTest = 1"
 _SQL = {
     "chk_x1_additivity": _ALL, "chk_x2_additivity": _ALL, "chk_m10_scores": _ALL, "chk_k6_roundtrip": _TEST,
-    "chk_m4_logistic_scores": _TEST, "chk_m5_forest_scores": _TEST, "chk_m8_smote_forest_scores": _TEST,
+    "chk_m4_logistic_scores": _TEST, "chk_m4_all_features_scores": _TEST, "chk_m5_forest_scores": _TEST, "chk_m8_smote_forest_scores": _TEST,
     "chk_m9_importances": "SELECT CAST(1.0 AS DOUBLE) AS Total",
     "chk_r6_model_scenarios": "SELECT Scenario, COUNT(*) AS Loans, CAST(0 AS BIGINT) AS Violations FROM v_split CROSS JOIN "
                               "(VALUES ('Base Case'), ('Mild Stress'), ('Severe Stress'), ('Recovery')) AS n(Scenario) "

@@ -120,8 +120,7 @@ def model_job(spark: SparkSession, book: LoanBook, out: str, cfg: ModelJobConfig
     if hasattr(chosen.model.stages[-1], "featureImportances"):
         tables["importances"] = M.top_features(M.importances(chosen, spark), 20)
     if cfg.explain and hasattr(chosen.model.stages[-1], "trees"):
-        phi = X.tree_shap(chosen, train).checkpoint(eager=True)
-        tables["shap_summary"] = X.shap_summary(phi)
+        tables["shap_summary"] = X.summary_of_rows(X.tree_shap_rows(chosen, train), chosen.features)
     for k, v in tables.items():
         paths[k] = _save(v, out, k)
 
