@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.common import materialize, ship, table
-from loanscope.llm.components import components
+from loanscope.llm.components import components, stars
 
 COSINE = 0.93
 TREES = 8
@@ -94,47 +94,39 @@ def leaves_of(x: np.ndarray, tree: int, splits: dict) -> list[tuple[int, np.ndar
     return out
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest leaf that the rows of ``a`` and ``b`` (padded leaf lists) share, or 0."""
-    best = np.zeros(len(a), dtype=np.int64)
-    for i in range(a.shape[1]):
-        for j in range(b.shape[1]):
-            same = (a[:, i] == b[:, j]) & (a[:, i] > 0) & ((best == 0) | (a[:, i] < best))
-            best[same] = a[same, i]
-    return best
-
-
-def compare_leaf(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, lists: np.ndarray, chunk: np.ndarray,
-                 tree: int, leaf: int, across: bool, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(links counted first in this leaf by row, spanning links of the leaf).
-    ``lists``: rows x trees x leaves, padded with 0; ``across``: only pairs of
-    rows of different chunks count."""
+def compare_leaf(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, codes: list[np.ndarray], chunk: np.ndarray,
+                 here: int, across: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links counted first in this leaf by row, and the spanning links of the leaf).
+    ``codes``: each row's leaves, in the order in which leaves count pairs;
+    ``here``: this leaf; ``across``: only pairs of rows of different chunks count."""
     n = len(ids)
-    counted, parent, links = np.zeros(n, dtype=np.int64), np.arange(n), []
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    # Membership in the leaves that come before this one: rows with a common one were compared there.
+    row = np.repeat(np.arange(n), [len(c) for c in codes])
+    leaf = np.concatenate(codes)
+    earlier = leaf < here
+    _, column, times = np.unique(leaf[earlier], return_inverse=True, return_counts=True)
+    member = np.zeros((n, len(times)), dtype=np.float32)
+    member[row[earlier], column] = 1
+    member = member[:, times > 1]
+    counted, ends = np.zeros(n), []
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
-            i, j = np.nonzero(x[a:a + BLOCK] @ x[b:b + BLOCK].T >= cosine)
-            i, j = i + a, j + b
-            fit = (i < j) & ((chunk[i] != chunk[j]) | (not across))
-            i, j = i[fit], j[fit]
-            new = shared(lists[i, tree], lists[j, tree]) == leaf
-            for t in range(tree):
-                new &= shared(lists[i, t], lists[j, t]) == 0
-            np.add.at(counted, i[new], copies[j[new]])
-            np.add.at(counted, j[new], copies[i[new]])
-            for p, q in zip(i[new].tolist(), j[new].tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    links.append((int(ids[p]), int(ids[q])))
-    return counted, links
+            near = x[a:a + BLOCK] @ x[b:b + BLOCK].T >= cosine
+            if a == b:
+                near = np.triu(near, 1)
+            if across:
+                near &= chunk[a:a + BLOCK, None] != chunk[None, b:b + BLOCK]
+            if near.any() and member.shape[1]:
+                near &= (member[a:a + BLOCK] @ member[b:b + BLOCK].T) == 0
+            i, j = np.nonzero(near)
+            if len(i):
+                counted[a:a + BLOCK] += near @ copies[b:b + BLOCK]
+                counted[b:b + BLOCK] += near.T @ copies[a:a + BLOCK]
+                ends.append(np.column_stack(stars(ids[i + a], ids[j + b])))
+    if not ends:
+        return counted.astype(np.int64), ids[:0], ids[:0]
+    u, v = np.concatenate(ends).T
+    return counted.astype(np.int64), *stars(u, v)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
@@ -166,49 +158,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
             for part, b in batch.groupby("part"):
                 x = unit(b["embedding"])
                 trunk = forest.get(part, [({}, {})] * trees)
-                per = [leaves_of(x, t, splits) for t, (splits, _) in enumerate(trunk)]
-                lists = [[[] for _ in range(trees)] for _ in range(len(b))]
-                for t, found in enumerate(per):
-                    for leaf, at in found:
-                        for r in at:
-                            lists[r][t].append(leaf)
-                text = np.array([";".join(",".join(map(str, one)) for one in row) for row in lists], dtype=object)
+                found = [(t, k, at) for t, (splits, _) in enumerate(trunk) for k, at in leaves_of(x, t, splits)]
+                row = np.concatenate([at for *_, at in found])
+                code = np.repeat([(t << 40) | k for t, k, _ in found], [len(at) for *_, at in found])
+                chunks = np.repeat([trunk[t][1].get(k, 1) for t, k, _ in found], [len(at) for *_, at in found])
+                order = np.argsort(row, kind="stable")
+                codes = np.empty(len(b), dtype=object)
+                codes[:] = np.split(code[order], np.cumsum(np.bincount(row, minlength=len(b)))[:-1])
                 ids = b["rep"].to_numpy()
-                for t, found in enumerate(per):
-                    at = np.concatenate([a for _, a in found])
-                    leaf = np.repeat([k for k, _ in found], [len(a) for _, a in found])
-                    n = np.repeat([trunk[t][1].get(k, 1) for k, _ in found], [len(a) for _, a in found])
-                    for other in range(int(n.max())):
-                        on = n > other
-                        r, chunk = at[on], ids[at[on]] % n[on]
-                        yield pd.DataFrame({
-                            "part": part, "tree": t, "leaf": leaf[on], "lists": text[r],
-                            "low": np.minimum(chunk, other), "high": np.maximum(chunk, other), "chunk": chunk,
-                            "rep": ids[r], "copies": b["copies"].to_numpy()[r],
-                            "embedding": b["embedding"].to_numpy()[r]})
+                for other in range(int(chunks.max())):
+                    on = chunks > other
+                    r, chunk = row[on], ids[row[on]] % chunks[on]
+                    yield pd.DataFrame({
+                        "part": part, "leaf": code[on], "codes": codes[r], "low": np.minimum(chunk, other),
+                        "high": np.maximum(chunk, other), "chunk": chunk, "rep": ids[r],
+                        "copies": b["copies"].to_numpy()[r], "embedding": b["embedding"].to_numpy()[r]})
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     leaves = single.select("part", "rep", "copies", "embedding").mapInPandas(
-        index, "part string, tree int, leaf long, lists string, low long, high long, chunk long, rep long, "
+        index, "part string, leaf long, codes array<long>, low long, high long, chunk long, rep long, "
                f"copies long, embedding {kind}")
 
-    def within(key, b):
+    def within(b):
         b = b.sort_values("rep")
-        tree, leaf = int(b["tree"].iloc[0]), int(b["leaf"].iloc[0])
-        split = [[[int(y) for y in one.split(",")] for one in row.split(";")] for row in b["lists"]]
-        width = max(len(one) for row in split for one in row)
-        lists = np.zeros((len(b), trees, width), dtype=np.int64)
-        for i, row in enumerate(split):
-            for t, one in enumerate(row):
-                lists[i, t, :len(one)] = one
         ids = b["rep"].to_numpy()
-        counted, links = compare_leaf(ids, b["copies"].to_numpy(), unit(b["embedding"]), lists, b["chunk"].to_numpy(),
-                                      tree, leaf, b["low"].iloc[0] != b["high"].iloc[0], cosine)
+        counted, u, v = compare_leaf(ids, b["copies"].to_numpy(), unit(b["embedding"]), list(b["codes"]), b["chunk"].to_numpy(),
+                                     int(b["leaf"].iloc[0]), b["low"].iloc[0] != b["high"].iloc[0], cosine)
         has = counted > 0
         return pd.concat([pd.DataFrame({"a": ids[has], "b": ids[has], "n": counted[has]}),
-                          pd.DataFrame({"a": [p for p, _ in links], "b": [q for _, q in links], "n": 0})]).astype("int64")
+                          pd.DataFrame({"a": u, "b": v, "n": 0})]).astype("int64")
 
-    found = materialize(leaves.groupBy("part", "tree", "leaf", "low", "high").applyInPandas(
+    found = materialize(leaves.groupBy("part", "leaf", "low", "high").applyInPandas(
         within, "a long, b long, n long"), "links")
     degree = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.where("a <> b"))
