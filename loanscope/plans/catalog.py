@@ -493,6 +493,7 @@ def _k2(spark, b):
 
 # Registered model settings (a point of the search grid, and a small search).
 FOREST = {"num_trees": 200, "max_depth": 6, "min_instances": 1, "subset": "sqrt"}
+SMOTE_FOREST = FOREST | {"max_depth": 30}  # no depth limit: Spark's largest depth
 SEARCH_N_ITER = 2
 SEARCH_FOLDS = 3
 _CACHE: dict[tuple, object] = {}
@@ -761,7 +762,7 @@ def _a19(spark, b):
 def smote_forest(spark, b) -> M.Fitted:
     feats = training_frame(spark, b)[1]
     return _cached(spark, b, "smote_forest", lambda: M.train_forest(
-        resampled(spark, b), feats, weight=None, name="RandomForest_SMOTE", **FOREST))
+        resampled(spark, b), feats, weight=None, name="RandomForest_SMOTE", **SMOTE_FOREST))
 
 
 @register("m8_smote_forest_scores")

@@ -69,6 +69,7 @@ class ModelJobConfig:
     drop_leaky: bool = True
     forest: dict = field(default_factory=lambda: {"num_trees": 200, "max_depth": 6, "min_instances": 1,
                                                   "subset": "sqrt"})
+    smote_forest: dict | None = None  # None: the forest's settings without a depth limit
     search_iter: int = 20
     search_folds: int = 3
     smote_ratio: float = 0.3
@@ -95,7 +96,8 @@ def model_job(spark: SparkSession, book: LoanBook, out: str, cfg: ModelJobConfig
     imputed = M.as_double_features(train, cols)
     means = {c: float(v) for c, v in zip(cols, imputed.agg(*[F.avg(c) for c in cols]).first()) if v is not None}
     resampled = SM.smote(imputed.fillna(means, subset=list(means)), cols, ratio=cfg.smote_ratio).checkpoint(eager=True)
-    rf_sm = M.train_forest(resampled, cols, weight=None, name="RandomForest_SMOTE", **cfg.forest)
+    rf_sm = M.train_forest(resampled, cols, weight=None, name="RandomForest_SMOTE",
+                           **(cfg.smote_forest or cfg.forest | {"max_depth": 30}))
 
     models = {"LogisticRegression": lr, rf.name: rf, "RandomForest_SMOTE": rf_sm}
     scored = {name: M.score(m, test, None, keep=["LoanID", "DefaultFlag", "OutstandingAmount"]).checkpoint(eager=True)
