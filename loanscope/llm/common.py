@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +44,18 @@ def release(spark: SparkSession) -> None:
 
     Called between the steps of an operator, after their results are written:
     the shuffle of a finished step then does not occupy the executors' disks
-    during the next.  A hint only; no result depends on it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    during the next.  A hint only; no result depends on it.  The first round
+    frees the plans, the second what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def batches_of(texts: Sequence[str | None], limit: int = 4 << 20):
+    """Positions of ``texts`` in runs of about ``limit`` characters."""
+    size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
+    return np.split(np.arange(len(texts)), np.searchsorted(size, np.arange(limit, size[-1], limit))) if len(texts) else []
 
 
 def ascii_lower(text: Column) -> Column:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanscope.llm.common import SPACED_WORD, ascii_lower, materialize, release, ship, table
+from loanscope.llm.common import SPACED_WORD, ascii_lower, batches_of, materialize, release, ship, table
 from loanscope.llm.components import components
 from loanscope.llm.shingles import hash_words, mix, shingle_hashes
 
@@ -94,12 +94,6 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)) for x in (a, b))
 
 
-def batches_of(texts: pd.Series, limit: int = 4 << 20):
-    """Positions of ``texts`` in runs of about ``limit`` characters."""
-    size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
-    return np.split(np.arange(len(texts)), np.searchsorted(size, np.arange(limit, size[-1], limit))) if len(texts) else []
-
-
 def star(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys once each, smallest set of each, and the distinct ties smallest - other)."""
     order = np.lexsort((sets, keys))

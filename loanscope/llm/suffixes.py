@@ -35,16 +35,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.common import materialize, release, ship, table
+from loanscope.llm.common import batches_of, materialize, release, ship, table
 from loanscope.llm.shingles import BASE, mix
 
 LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1      # anchors to choose from in a window
 PIECE = 1 << 17                 # bytes hashed at a time
-FLUSH_RUNS = 1_500_000          # runs a scanning task holds before it sends them
-BUCKET_RUNS = 1_000_000         # runs that meet in one group
-SHARD_BYTES = 4 << 20           # contexts of a suffix array
+FLUSH_RUNS = 400_000            # runs a scanning task holds before it sends them
+BUCKET_RUNS = 400_000           # runs that meet in one group
+SHARD_BYTES = 1 << 20           # contexts of a suffix array
 SHARD_RUNS = 20_000             # contexts of one anchor in a shard
 SLICE = 3                       # leading bytes by which heads of several shards meet
 NO_ID = (1 << 63) - 1
@@ -253,16 +253,16 @@ def repeated_spans(docs: DataFrame, shard_runs: int = SHARD_RUNS) -> DataFrame:
                 yield from packed(done, np.flatnonzero(again == done), *runs, ids, marks)
 
         for b in batches:
-            raws = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            base = len(docs_seen)
-            docs_seen += b["doc_id"].tolist()
-            marks_seen += b["mark"].tolist()
-            for kh, ctx, num, first, last in scan_texts(raws):
-                kept.append((kh, ctx, num + base, first, last))
-                held += len(kh)
-            if held >= FLUSH_RUNS:
-                yield from sent()
-                kept, docs_seen, marks_seen, held = [], [], [], 0
+            for at in batches_of(b["text"]):
+                base = len(docs_seen)
+                docs_seen += b["doc_id"].iloc[at].tolist()
+                marks_seen += b["mark"].iloc[at].tolist()
+                for kh, ctx, num, first, last in scan_texts([t.encode("utf-8", "surrogatepass") for t in b["text"].iloc[at]]):
+                    kept.append((kh, ctx, (num + base).astype(np.int32), first.astype(np.int32), last.astype(np.int32)))
+                    held += len(kh)
+                if held >= FLUSH_RUNS:
+                    yield from sent()
+                    kept, docs_seen, marks_seen, held = [], [], [], 0
         if held:
             yield from sent()
 
