@@ -309,3 +309,21 @@ def test_foreign_keys_let_null_pass(spark):
     parent = spark.createDataFrame([(1,)], "k long")
     assert Q.fk_violations(child, parent, "k", "r").first()["Violations"] == 1
     assert Q.orphan_count(child, parent, "k", "n").first()["n"] == 2
+
+
+def test_knn_pairs_a_point_stay_flat(spark):
+    """Eight times the points, about as many candidate pairs a point."""
+    rng = np.random.default_rng(3)
+    per = []
+    for n in (1000, 8000):
+        x = rng.normal(size=(n, 2)) * [900.0, 300.0]
+        rows = [(i, float(a), float(b), float(a * 0.01 + c)) for i, ((a, b), c) in enumerate(zip(x, rng.normal(size=n) * 0.1))]
+        stats: dict = {}
+        df = spark.createDataFrame(rows, "LoanID long, x double, y double, z double")
+        got = SM.knn(df, "LoanID", ["x", "y", "z"], 5, stats=stats).filter("Rank = 5").orderBy("LoanID").toPandas()
+        if n == 1000:
+            v = np.array([r[1:] for r in rows])
+            d = np.sort(np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)), axis=1)[:, 5]
+            assert np.allclose(got.Distance.to_numpy(), d)
+        per.append(stats["pairs"] / n)
+    assert per[1] < 2 * per[0] and per[0] < 2 * per[1], per
