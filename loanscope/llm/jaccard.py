@@ -5,11 +5,13 @@ Documents link when ``100 * |A & B| >= 85 * |A | B|`` over their distinct
 
 1. Documents with equal sets are one class, whose smallest id stands for it.
 2. Candidates: linked sets differ in at most ``D`` shingles, a bound by size.
-   The hash range is cut into more than ``D`` parts, so one part that is not
-   empty is equal in both.  Sets meet under the hashes of their parts; a key's
-   sets are tied to its smallest, first inside a task, then across tasks.
-   Parts a set leaves empty count only if it fills ``D`` or fewer.
-3. Components of the candidate ties are the join's work units.  Inside one, the
+   The hash range is cut into about ``1.25 D`` parts, so the parts that a set
+   fills, less ``D``, are equal in both.  Sets meet under the hashes of their
+   parts, inside a task first, then across tasks; a set that shares fewer parts
+   with any others than it must is linked with nothing and leaves.
+3. The sets that stay meet once more, and a part's sets are tied to its
+   smallest.  Components of the ties, each size class by itself, are the join's
+   work units: a set is in two at most.  Inside one, the
    sets are sorted by the global order; with the common prefixes of neighbours
    this list is the prefix tree in depth-first order.  A set is walked down
    the tree: overlap counted on a shared prefix is not counted again, subtrees
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.common import SPACED_WORD, ascii_lower, batches_of, materialize, release, ship, table
@@ -38,7 +40,8 @@ WORDS = 4
 PERCENT = 85
 BLOCK = 2_000           # sets of a work unit in one task, or in either block of it
 TASK_KEYS = 1_000_000   # part hashes that meet in one group
-FLUSH_KEYS = 2_000_000  # part hashes a scanning task holds before it sends them
+RANGE_BITS = 8          # 256 ranges of the global order
+FLUSH_KEYS = 1_000_000  # part hashes a scanning task holds before it sends them
 
 
 def most_apart(size: int, percent: int) -> int:
@@ -47,6 +50,12 @@ def most_apart(size: int, percent: int) -> int:
     return union - -(-union * percent // 100)
 
 
+def node_of(mark: int, k: int) -> int:
+    """The set ``mark`` in size class ``k``, as a signed 64-bit id."""
+    both = (mark * 0x9E3779B97F4A7C15 + (k + 1) * 0xD6E8FEB86659FD93) & ((1 << 64) - 1)
+    return int(mix(np.array([both], dtype=np.uint64)).astype(np.int64)[0])
+
+
 class Parts:
     """Part hashes of sets.  Size classes grow by more than 100 / percent, so
     linked sets are in the same or in neighbouring ones."""
@@ -61,22 +70,32 @@ class Parts:
         k = int(np.searchsorted(self.tops, size))
         return [k, k - 1] if k else [k]
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set: as the smaller partner in its own class, as the larger in the one below."""
-        out, mixed = [], mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    def cut(self, shingles: np.ndarray):
+        """For each class of a sorted set: (class, places of its parts in the set, which
+        parts count, how many of them a linked set must share)."""
         for k in self.classes(len(shingles)):
             apart = most_apart(self.tops[k], self.percent)
-            parts = apart + 1 + ((1 + apart // 32) if apart else 0)
+            parts = apart + 1 + (-(-apart // 4))
             width = np.uint64(((1 << 64) - 1) // parts)
             edges = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) * width)
             edges = np.concatenate([[0], edges, [len(shingles)]])
             filled = edges[1:] > edges[:-1]
             use = filled if filled.sum() > apart else np.ones(parts, dtype=bool)
+            yield k, edges, use, int(use.sum()) - apart
+
+    def needs(self, mark: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """(node, fewest parts that a set linked in this class shares) for each class: a
+        set stands in its own class for its smaller role, in the one below for its larger."""
+        return [(node_of(mark, k), need) for k, *_, need in self.cut(shingles)] if len(shingles) else []
+
+    def keys(self, mark: int, shingles: np.ndarray):
+        """(node, part keys) of a sorted set in each class."""
+        mixed = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        for k, edges, use, _ in self.cut(shingles):
             total = (run[edges[1:]] - run[edges[:-1]])[use]
             place = np.flatnonzero(use).astype(np.uint64) + np.uint64(k << 40)
-            out.append(mix(mix(total) + mix(place)))
-        return np.concatenate(out)
+            yield node_of(mark, k), mix(mix(total) + mix(place))
 
 
 def sets_of(texts, words: int) -> list[np.ndarray]:
@@ -94,14 +113,63 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)) for x in (a, b))
 
 
-def star(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys once each, smallest set of each, and the distinct ties smallest - other)."""
+def star(keys: np.ndarray, sets: np.ndarray):
+    """(keys once each, smallest set of each), (distinct ties smallest - other), and
+    (sets, number of keys that they share with other sets)."""
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
-    head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=bool)
-    low = sets[head][np.cumsum(head) - 1] if len(keys) else sets
-    tie = np.unique(np.column_stack([low, sets])[low != sets], axis=0).reshape(-1, 2)
-    return keys[head], sets[head], tie[:, 0], tie[:, 1]
+    if not len(keys):
+        return (keys, sets), (sets, sets), (sets, sets)
+    head = np.concatenate([[True], keys[1:] != keys[:-1]])
+    group, first = np.cumsum(head) - 1, np.flatnonzero(head)
+    low, high = sets[first], sets[np.append(first[1:], len(keys)) - 1]
+    tie = np.unique(np.column_stack([low[group], sets])[low[group] != sets], axis=0).reshape(-1, 2)
+    shared = np.unique(sets[(low != high)[group]], return_counts=True)
+    return (keys[head], low), (tie[:, 0], tie[:, 1]), shared
+
+
+def meeting(sets: DataFrame, read, percent: int, buckets: int, what: int) -> DataFrame:
+    """``sets`` meet under their part keys: (a, b) ties of nodes for ``what`` = 1, (node,
+    number of shared keys) for 2, partial results of tasks and groups.  ``read``
+    makes (mark, shingles, nodes that take part or None for all) of a batch."""
+    def send(batches):
+        parts, keys, owners, held, seen = Parts(percent), [], [], 0, set()
+
+        def sent():
+            result = star(np.concatenate(keys), np.concatenate(owners))
+            for part in (0, what):
+                first, second = result[part]
+                to = mix(first.astype(np.uint64)) % np.uint64(buckets)
+                order = np.argsort(to, kind="stable")
+                for cut in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                    if len(cut):
+                        yield pd.DataFrame({"bucket": [int(to[cut[0]])], "done": [part > 0], "a": [
+                            first[cut].tobytes()], "b": [second[cut].tobytes()]})
+
+        for batch in batches:
+            for mark, s, only in read(batch):
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                for node, k in parts.keys(mark, s):
+                    if only is None or node in only:
+                        keys.append(k.astype(np.int64))
+                        owners.append(np.full(len(k), node, dtype=np.int64))
+                        held += len(k)
+                if held >= FLUSH_KEYS:
+                    yield from sent()
+                    keys, owners, held = [], [], 0
+        if keys:
+            yield from sent()
+
+    def meet(b):
+        k, o, a, c = (np.frombuffer(b"".join(b.loc[b["done"] == d, x]), dtype=np.int64)
+                      for d in (False, True) for x in ("a", "b"))
+        found = star(k, o)[what]
+        return pd.DataFrame({"a": np.concatenate([found[0], a]), "b": np.concatenate([found[1], c])})
+
+    return sets.mapInPandas(send, "bucket int, done boolean, a binary, b binary").groupBy("bucket").applyInPandas(
+        meet, "a long, b long")
 
 
 def trie_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], across: bool, percent: int) -> list[tuple]:
@@ -116,6 +184,9 @@ def trie_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], across
         common[i] = m if same.all() else int(same.argmin())
     tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
     dense = np.split(place, np.cumsum(size)[:-1])
+    # Shingles by range of the global order: what two sets can share in a range bounds their overlap.
+    ranges = np.stack([np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
+                       for s in sets]).astype(np.int32)
     group, links = np.arange(len(sets)), []        # group[i]: of the connected sets, kept flat
     held = np.zeros(len(tokens), dtype=bool)
     for x in range(len(sets)):
@@ -124,6 +195,8 @@ def trie_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], across
         if across:
             fits &= blocks[rest] != blocks[x]
         todo = np.flatnonzero(fits) + x + 1
+        reach = np.minimum(ranges[x], ranges[todo]).sum(1)
+        todo = todo[(100 + percent) * reach >= percent * (size[x] + size[todo])]
         if not len(todo):
             continue
         held[dense[x]] = True
@@ -156,65 +229,39 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def profile(batches):
+        parts = Parts(percent)
         for b in batches:
             for at in batches_of(b["text"]):
                 sets = sets_of(b["text"].iloc[at], words)
                 marks = [signature(s) for s in sets]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at], "n": [len(s) for s in sets],
-                                    "s1": [m[0] for m in marks], "s2": [m[1] for m in marks]})
-
-    prof = materialize(docs.mapInPandas(profile, "doc_id long, n long, s1 long, s2 long"), "jaccard-sets")
-    total = prof.agg(F.sum("n")).first()[0] or 0
-    buckets = int(total * 0.37 // TASK_KEYS) + 1
-
-    def part_keys(batches):
-        parts, keys, owners, held, seen = Parts(percent), [], [], 0, set()
-
-        def sent():
-            k, low, a, b = star(np.concatenate(keys), np.concatenate(owners))
-            for tie, first, second, route in ((True, a, b, a), (False, k, low, k)):
-                to = mix(route.astype(np.uint64)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                for cut in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    if len(cut):
-                        yield pd.DataFrame({"bucket": [int(to[cut[0]])], "tie": [tie], "a": [
-                            first[cut].tobytes()], "b": [second[cut].tobytes()]})
-
-        for batch in batches:
-            for at in batches_of(batch["text"]):
-                for s in sets_of(batch["text"].iloc[at], words):
-                    if not len(s):
-                        continue
-                    mark = signature(s)[0]
-                    if mark in seen:
-                        continue
-                    seen.add(mark)
-                    k = parts.keys(s)
-                    keys.append(k.astype(np.int64))
-                    owners.append(np.full(len(k), mark, dtype=np.int64))
-                    held += len(k)
-                if held >= FLUSH_KEYS:
-                    yield from sent()
-                    keys, owners, held = [], [], 0
-        if keys:
-            yield from sent()
-
-    def meet(b):
-        a, o = (np.frombuffer(b"".join(b.loc[~b["tie"], c]), dtype=np.int64) for c in ("a", "b"))
-        _, _, low, other = star(a, o)
-        done = [np.frombuffer(b"".join(b.loc[b["tie"], c]), dtype=np.int64) for c in ("a", "b")]
-        return pd.DataFrame({"a": np.concatenate([low, done[0]]), "b": np.concatenate([other, done[1]])}).drop_duplicates()
-
-    ties = docs.mapInPandas(part_keys, "bucket int, tie boolean, a binary, b binary").groupBy("bucket").applyInPandas(
-        meet, "a long, b long")
-    ties = materialize(ties, "jaccard-ties")
+                needs = [parts.needs(m[0], s) for m, s in zip(marks, sets)]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at], "n": [len(s) for s in sets], "s1": [m[0] for m in marks],
+                                    "s2": [m[1] for m in marks], "nodes": [[x for x, _ in c] for c in needs],
+                                    "needs": [[x for _, x in c] for c in needs]})
+
+    prof = materialize(docs.mapInPandas(
+        profile, "doc_id long, n long, s1 long, s2 long, nodes array<long>, needs array<int>"), "jaccard-sets")
+    classes = materialize(prof.where("n > 0").groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("nodes").alias("nodes"), F.min("needs").alias("needs")),
+        "jaccard-classes")
+
+    def of_texts(batch):
+        for at in batches_of(batch["text"]):
+            yield from ((signature(s)[0], s, None) for s in sets_of(batch["text"].iloc[at], words) if len(s))
+
+    def of_blobs(batch):
+        for mark, s, nodes in zip(batch["mark"], batch["s"], batch["nodes"]):
+            yield mark, np.frombuffer(s, dtype=np.uint64), set(nodes)
+
+    def buckets(frame):
+        return int((frame.agg(F.sum("n")).first()[0] or 0) * 0.4 // TASK_KEYS) + 1
+
+    shared = meeting(docs.select("text"), of_texts, percent, buckets(prof), 2).groupBy("a").agg(F.sum("b").alias("shared"))
+    standing = classes.select("rep", "s1", "n", F.inline(F.arrays_zip("nodes", "needs")))
+    staying = materialize(standing.join(shared, F.col("nodes") == F.col("a")).where("shared >= needs").groupBy(
+        F.col("rep").alias("doc_id"), F.col("s1").alias("mark"), "n").agg(F.collect_set("nodes").alias("nodes")),
+        "jaccard-staying")
     release(spark)
-    unit = components(ties).withColumnRenamed("node", "s1").withColumnRenamed("component", "unit")
-    classes = materialize(prof.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    work = classes.join(unit, "s1").withColumn(
-        "blocks", F.ceil(F.count("*").over(Window.partitionBy("unit")) / BLOCK).cast("int"))
-    work = work.select(F.col("rep").alias("doc_id"), F.col("s1").alias("mark"), "unit", "blocks",
-                       F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
 
     def chosen(batches):
         for b in batches:
@@ -222,9 +269,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 part = b.iloc[at].drop(columns="text")
                 sets = sets_of(b["text"].iloc[at], words)
                 same = [signature(s)[0] == m for s, m in zip(sets, part["mark"])]  # not another row of this id
-                yield part[["doc_id", "unit", "blocks", "block"]].assign(s=[s.tobytes() for s in sets])[same]
+                yield part[["doc_id", "mark", "nodes"]].assign(s=[s.tobytes() for s in sets])[same]
 
-    sets = docs.join(work, "doc_id").mapInPandas(chosen, "doc_id long, unit long, blocks int, block int, s binary")
+    sets = materialize(docs.join(staying.select("doc_id", "mark", "nodes"), "doc_id").mapInPandas(
+        chosen, "doc_id long, mark long, nodes array<long>, s binary"), "jaccard-candidates")
+    ties = materialize(meeting(sets.select("mark", "s", "nodes"), of_blobs, percent, buckets(staying), 1), "jaccard-ties")
+    release(spark)
+    unit = components(ties).withColumnRenamed("component", "unit")
+    unit = unit.join(unit.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "unit")
+    sets = sets.select("doc_id", "mark", "s", F.explode("nodes").alias("node")).join(unit, "node").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sets = sets.select("*", other.alias("other")).select(
         "doc_id", "unit", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s")
