@@ -91,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     the hit words cut out of every text (``remove="spans"``)."""
     found = find_hits(docs, benchmark).where(F.size("hit") > 0)
     if remove == "documents":
-        bad = found.where(is_contaminated(F.size("hit"), F.col("n_words")))
+        bad = found.where(is_contaminated(F.size("hit"), F.col("n_words"))).hint("merge")  # no bound: not broadcast
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
     cut = found.groupBy("doc_id", "h").agg(F.first("hit").alias("hit"))
     joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["h"]), "left")

@@ -271,13 +271,14 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 same = [signature(s)[0] == m for s, m in zip(sets, part["mark"])]  # not another row of this id
                 yield part[["doc_id", "mark", "nodes"]].assign(s=[s.tobytes() for s in sets])[same]
 
-    sets = materialize(docs.join(staying.select("doc_id", "mark", "nodes"), "doc_id").mapInPandas(
+    # Merge joins: what stays has no proven bound, so it is not broadcast at any size.
+    sets = materialize(docs.join(staying.select("doc_id", "mark", "nodes").hint("merge"), "doc_id").mapInPandas(
         chosen, "doc_id long, mark long, nodes array<long>, s binary"), "jaccard-candidates")
     ties = materialize(meeting(sets.select("mark", "s", "nodes"), of_blobs, percent, buckets(staying), 1), "jaccard-ties")
     release(spark)
     unit = components(ties).withColumnRenamed("component", "unit")
     unit = unit.join(unit.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "unit")
-    sets = sets.select("doc_id", "mark", "s", F.explode("nodes").alias("node")).join(unit, "node").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    sets = sets.select("doc_id", "mark", "s", F.explode("nodes").alias("node")).join(unit.hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sets = sets.select("*", other.alias("other")).select(
         "doc_id", "unit", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s")
@@ -304,7 +305,7 @@ def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     stay = materialize(stay.groupBy(F.col("doc_id").alias("kept_id")).agg(
         F.sum((F.col("n_shingles") > 0).cast("long")).alias("rows")), "jaccard-kept")
     same = docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"])
-    whole = docs.join(stay.where("rows <= 1"), same, "left_semi")
+    whole = docs.join(stay.where("rows <= 1").hint("merge"), same, "left_semi")
     if stay.where("rows > 1").isEmpty():
         return whole
     # Ids with several rows: those of equal words are one document.
