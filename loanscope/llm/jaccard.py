@@ -80,8 +80,10 @@ class Parts:
             edges = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) * width)
             edges = np.concatenate([[0], edges, [len(shingles)]])
             filled = edges[1:] > edges[:-1]
-            use = filled if filled.sum() > apart else np.ones(parts, dtype=bool)
-            yield k, edges, use, int(use.sum()) - apart
+            some = filled.sum() > apart
+            # A set that sends all parts may share empty ones with a set that sends only its filled ones.
+            use = filled if some else np.ones(parts, dtype=bool)
+            yield k, edges, use, int(filled.sum()) - apart if some else 1
 
     def needs(self, mark: int, shingles: np.ndarray) -> list[tuple[int, int]]:
         """(node, fewest parts that a set linked in this class shares) for each class: a

@@ -130,3 +130,31 @@ def test_edge_cases(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     ids = sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str)
     assert ids == sorted([1, 3, 4, 5, 6, 7, 9, None, 10, 10, 11], key=str)
+
+
+def test_small_pair_at_the_edge_stays_linked(spark):
+    """8 words whose 4 shingles fall in one of 3 parts, and the same with a ninth word in another part."""
+    third = np.uint64(((1 << 64) - 1) // 3)
+    for seed in range(10 ** 5):
+        w = [f"z{seed}x{i}" for i in range(9)]
+        small, large = J.sets_of([" ".join(w[:8]), " ".join(w)], 5)
+        if len(set((small // third).tolist())) == 1 and len(set((large // third).tolist())) == 2:
+            break
+    df = spark.createDataFrame([(1, " ".join(w[:8])), (2, " ".join(w))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.near_classes(df, 5, 80).collect()} == {1: 1, 2: 1}
+
+
+def test_linked_sets_share_the_parts_that_they_need():
+    """Each pair alone, so that no other text stands in for the shared parts."""
+    rng = np.random.default_rng(4)
+    for percent, sizes in ((80, ((4, 5), (8, 10), (12, 15))), (85, ((6, 7), (17, 20)))):
+        parts = J.Parts(percent)
+        for small, large in sizes:
+            for _ in range(2_000):
+                s = rng.integers(0, 1 << 64, large, dtype=np.uint64)
+                sets = np.sort(s[:small]), np.sort(s)
+                keys = [[set(k.tolist()) for _, k in parts.keys(m, x)] for m, x in enumerate(sets)]
+                cuts = [{c[0]: (i, c[3]) for i, c in enumerate(parts.cut(x))} for x in sets]
+                common = set(cuts[0]) & set(cuts[1])
+                assert any(len(keys[0][cuts[0][k][0]] & keys[1][cuts[1][k][0]]) >= max(cuts[0][k][1], cuts[1][k][1])
+                           for k in common)
