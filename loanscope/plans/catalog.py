@@ -491,10 +491,10 @@ def _k2(spark, b):
 # the same model whatever the partitions or cores.
 
 
-# Registered model settings (a point of the search grid, and a small search).
+# Registered model settings (a point of the search grid, and the reference's search).
 FOREST = {"num_trees": 200, "max_depth": 6, "min_instances": 1, "subset": "sqrt"}
 SMOTE_FOREST = FOREST | {"max_depth": 30}  # no depth limit: Spark's largest depth
-SEARCH_N_ITER = 2
+SEARCH_N_ITER = 20
 SEARCH_FOLDS = 3
 _CACHE: dict[tuple, object] = {}
 

@@ -192,3 +192,18 @@ def test_random_search_takes_any_number_of_folds(spark, k):
     space = {"numTrees": [3], "maxDepth": [2, 3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
     _, results = M.random_search(df, ["a", "b"], folds=k, n_iter=2, weight=None, space=space)
     assert len(results) == 2 and all(0 <= auc <= 1 for _, auc in results)
+
+
+def test_registered_search_draws_twenty_points(spark, monkeypatch):
+    """Every draw of the reference (20 x 3 folds) is a row, best first; the fits themselves are left out."""
+    asked = {}
+
+    def search(train, features, folds, n_iter):
+        asked.update(folds=folds, n_iter=n_iter)
+        return None, [({"point": i}, i / n_iter) for i in range(n_iter)]
+
+    monkeypatch.setattr(M, "random_search", search)
+    monkeypatch.setattr(C, "_CACHE", {})
+    rows = C.REGISTRY["m6_random_search"](spark, "/root/testdata/sf0.001").collect()
+    assert asked == {"folds": 3, "n_iter": 20}
+    assert len(rows) == 20 and [r.AvgAUC for r in rows] == sorted((r.AvgAUC for r in rows), reverse=True)
