@@ -34,17 +34,17 @@ _is_letter = np.empty(0, dtype=bool)
 
 
 def letter_table() -> np.ndarray:
-    """Which of the first 65536 code points are letters; made once a process."""
+    """Which code points are letters; made once a process."""
     global _is_letter
     if not len(_is_letter):
-        _is_letter = np.array([chr(i).isalpha() for i in range(1 << 16)])
+        _is_letter = np.array([chr(i).isalpha() for i in range(0x110000)])
     return _is_letter
 
 
 def gram_buckets(text: str) -> np.ndarray:
     """Hashed 1-, 2- and 3-grams of one text."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code = np.where(letter_table()[np.minimum(code, 0xFFFF)], code, 32)
+    code = np.where(letter_table()[code], code, 32)
     code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])].astype(np.uint32)
     mix = lambda h: ((h * np.uint32(0x9E3779B1)) ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(18)
     one = code * np.uint32(3) + np.uint32(1)

@@ -67,3 +67,12 @@ def test_edge_cases(spark, odd_docs, no_docs):
     assert L.train(no_docs) is None and L.predict(no_docs, None).count() == 0
     untaught = L.predict(odd_docs, None).toPandas()
     assert set(untaught.lang_pred) == {"und"} and set(untaught.score) == {0.0}
+
+
+def test_letters_of_supplementary_planes_are_scored_by_their_grams():
+    """Deseret and Gothic: all letters lie beyond U+FFFF."""
+    deseret, gothic = ("".join(chr(a + i % n) + " " * (i % 5 == 0) for i in range(40)) for a, n in ((0x10428, 40), (0x10330, 26)))
+    blank = set(L.gram_buckets(" ").tolist())
+    grams = [set(L.gram_buckets(t).tolist()) - blank for t in (deseret, gothic)]
+    assert min(map(len, grams)) > 50 and len(grams[0] & grams[1]) < 5
+    assert set(L.gram_buckets("\U0001F600\U0010FFFF").tolist()) <= blank      # no letters
