@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loanscope.llm import decontamination, embeddings, jaccard, language, mixing, passages, quality, secrets, sharding, suffixes
+from loanscope.llm import (
+    decontamination, embeddings, jaccard, language, mixing, passages, quality, secrets, sharding, suffixes, tokens)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op12_tokens": tokens.op12_tokens,
 }
 SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
