@@ -24,7 +24,7 @@ def as_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def against_sql(spark, name, sf, tables=("documents", "benchmark", "labels")):
+def against_sql(spark, name, sf, tables=("documents", "benchmark", "labels", "conversations", "embeddings")):
     """Rows of the registered query and of its SQL, both sorted."""
     from loanscope.llm import registry
 
