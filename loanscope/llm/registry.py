@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loanscope.llm import (
-    decontamination, embeddings, jaccard, language, mixing, passages, prefixes, quality, secrets, sharding, suffixes, tokens)
+    decontamination, embeddings, jaccard, language, mixing, negatives, passages, prefixes, quality, secrets, sharding, suffixes, tokens)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_quality": quality.op9_quality,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op11_negatives": negatives.op11_negatives,
     "op12_tokens": tokens.op12_tokens,
     "op13_prefixes": prefixes.op13_prefixes,
 }
@@ -23,5 +24,6 @@ SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_secrets": secrets.OP8_SQL,
+    "op11_negatives": negatives.OP11_SQL,
     "op13_prefixes": prefixes.OP13_SQL,
 }
