@@ -5,7 +5,7 @@ import pytest
 from loanscope.plans import dirty
 from tools.check_oracle import duck
 
-from conftest import SF_CHECK, SF_SMALL
+from book_paths import SF_CHECK, SF_SMALL
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_CHECK])

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import tools.check_oracle as check
 from tools.check_oracle import compare, duck
 
-from conftest import SF_SMALL
+from book_paths import SF_SMALL
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
