@@ -9,8 +9,14 @@
   to arrays once and broadcast; ``mapInPandas`` runs the recursion per tree
   vectorised over each Arrow batch of rows, so the table is explained
   in parallel, batch by batch, never gathered.
-
-Both return long form: LoanID, Feature, Value, Phi (+ BaseValue for checks).
+* ``background_shap``: interventional TreeSHAP, exact Shapley values of the game in
+  which features outside a coalition come from a background row, averaged over a
+  bounded background sample.  A leaf is a box over the features on its path, so a
+  row matters to it only by which of its sides it satisfies; rows and background
+  rows are grouped by these bit masks, and each pair of masks is credited once
+  a leaf, not once a (row, background row) pair.
+
+All return long form: LoanID, Feature, Value, Phi (+ BaseValue for checks).
 """
 
 from __future__ import annotations
@@ -20,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import ImputerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.operators.models import Fitted, as_double_features
+from loanscope.operators.trees import save_forest, tree_arrays
 
 # The mapInPandas function and the TreeSHAP helpers it calls are pickled by
 # value, so executors need numpy/pandas only, not this package installed.
@@ -65,42 +71,6 @@ def linear_shap(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame
 
 # ---- trees ------------------------------------------------------------------------------------------
 
-def forest_arrays(rf: RandomForestClassificationModel) -> list[dict[str, np.ndarray]]:
-    """Each tree as arrays: feature (-1 at leaves), threshold (x <= t goes left),
-    left, right, cover (weighted training count), value (leaf P(class 1)).
-
-    The model is written once to the shared scratch folder and its node table
-    (one row per node) is read back with Spark: the published persistence
-    format, no per-node JVM calls."""
-    from loanscope.session import scratch_path
-
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "forest")
-    rf.write().overwrite().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.impurityStats").alias("stats"),
-                     F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-                     F.col("nodeData.split.featureIndex").alias("feature"),
-                     F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"))
-             .toPandas())
-    out = []
-    for _, t in nodes.sort_values(["treeID", "id"]).groupby("treeID", sort=True):
-        n = len(t)
-        ids = t["id"].to_numpy()
-        assert (ids == np.arange(n)).all(), "node ids are expected to be 0..n-1 per tree"
-        stats = np.stack([np.asarray(s, dtype=float) for s in t["stats"]])
-        cover = stats.sum(axis=1)
-        value = np.where(cover > 0, stats[:, 1] / np.where(cover > 0, cover, 1.0), 0.0) if stats.shape[1] > 1 \
-            else np.zeros(n)
-        left = t["left"].to_numpy().astype(np.int64)
-        leaf = left < 0
-        out.append({"feature": np.where(leaf, -1, t["feature"].to_numpy()).astype(np.int64),
-                    "threshold": np.nan_to_num(t["threshold"].to_numpy(dtype=float)),
-                    "left": left, "right": t["right"].to_numpy().astype(np.int64),
-                    "cover": cover, "value": value})
-    return out
-
-
 def _tree_expected(t: dict[str, np.ndarray]) -> float:
     leaves = t["feature"] < 0
     return float((t["cover"][leaves] * t["value"][leaves]).sum() / t["cover"][0])
@@ -212,8 +182,15 @@ def long_form(rows: DataFrame, features: list[str], key: str = "LoanID") -> Data
     return rows.select(key, "BaseValue", F.inline(F.array(*cells))).select(key, "Feature", "Value", "Phi", "BaseValue")
 
 
-#: Bytes of forest arrays that may be broadcast.
-MAX_FOREST_BYTES = 1 << 30
+def model_inputs(fitted: Fitted, df: DataFrame, key: str) -> DataFrame:
+    """key and the features as the model sees them: doubles, NULLs filled with training means."""
+    first = fitted.model.stages[0]
+    fill = {}
+    if isinstance(first, ImputerModel):
+        sur = first.surrogateDF.first().asDict()
+        fill = {c: float(sur[c]) for c in first.getInputCols()}
+    return as_double_features(df, fitted.features).select(
+        key, *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in fitted.features])
 
 
 def tree_shap_rows(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFrame:
@@ -224,21 +201,9 @@ def tree_shap_rows(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFr
     arrays are broadcast once (a forest too large for that is an error), and each
     Arrow batch is explained in numpy."""
     spark = df.sparkSession
-    stages = fitted.model.stages
-    rf = stages[-1]
-    imputer = stages[0] if isinstance(stages[0], ImputerModel) else None
-    fill = {}
-    if imputer is not None:
-        sur = imputer.surrogateDF.first().asDict()
-        fill = {c: float(sur[c]) for c in imputer.getInputCols()}
     feats = list(fitted.features)
-    data = as_double_features(df, feats).select(
-        key, *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in feats])
-    arrays = forest_arrays(rf)
-    size = sum(a.nbytes for t in arrays for a in t.values() if hasattr(a, "nbytes"))
-    if size > MAX_FOREST_BYTES:
-        raise ValueError(f"the forest takes {size} bytes, more than MAX_FOREST_BYTES = {MAX_FOREST_BYTES}")
-    bc = spark.sparkContext.broadcast(arrays)
+    data = model_inputs(fitted, df, key)
+    bc = spark.sparkContext.broadcast(tree_arrays(spark, save_forest(spark, fitted.model.stages[-1])))
     # Attribution costs O(trees x leaves x depth^2) per row, so spread rows over
     # the session's shuffle partitions even when the input arrives in few;
     # round-robin, not by key: copies of one key must not pile into one task.
@@ -258,6 +223,105 @@ def tree_shap_rows(fitted: Fitted, df: DataFrame, key: str = "LoanID") -> DataFr
     return data.mapInPandas(explain, schema)
 
 
+# ---- against a background ---------------------------------------------------------------------------
+
+#: Rows of a background sample: it is broadcast, and grouped by masks in every task.
+MAX_BACKGROUND = 10_000
+
+
+def leaf_boxes(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(features on the path, lower ends, upper ends, value) of each leaf: a row reaches it if
+    lower < x <= upper holds for all of them."""
+    out, todo = [], [(0, {})]
+    while todo:
+        j, box = todo.pop()
+        f = int(t["feature"][j])
+        if f < 0:
+            k = sorted(box)
+            out.append((np.array(k, dtype=np.int64), np.array([box[i][0] for i in k]), np.array([box[i][1] for i in k]),
+                        float(t["value"][j])))
+            continue
+        lo, hi = box.get(f, (-np.inf, np.inf))
+        cut = float(t["threshold"][j])
+        todo.append((int(t["left"][j]), box | {f: (lo, min(hi, cut))}))
+        todo.append((int(t["right"][j]), box | {f: (max(lo, cut), hi)}))
+    return out
+
+
+def _masks(x: np.ndarray, feats: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Bit i: the row satisfies side i of the box."""
+    v = x[:, feats]
+    return ((v > lo) & (v <= hi)) @ (np.int64(1) << np.arange(len(feats), dtype=np.int64))
+
+
+_FACT = np.cumprod(np.concatenate([[1.0], np.arange(1.0, 64.0)]))
+
+
+def _credits(rows: np.ndarray, others: np.ndarray, share: np.ndarray, k: int) -> np.ndarray:
+    """(row masks, k): credit of a leaf of value 1 to each of its k features, for the masks
+    ``rows`` against background masks ``others`` with their ``share``."""
+    a, b = np.nonzero((rows[:, None] | others) == (1 << k) - 1)
+    mine, theirs = rows[a] & ~others[b], others[b] & ~rows[a]
+    bits = np.int64(1) << np.arange(k, dtype=np.int64)
+    mine, theirs = (mine[:, None] & bits) != 0, (theirs[:, None] & bits) != 0
+    u, v = mine.sum(1), theirs.sum(1)
+    plus = np.where(u > 0, _FACT[np.maximum(u - 1, 0)] * _FACT[v] / _FACT[u + v], 0.0) * share[b]
+    minus = np.where(v > 0, _FACT[u] * _FACT[np.maximum(v - 1, 0)] / _FACT[u + v], 0.0) * share[b]
+    each = mine * plus[:, None] - theirs * minus[:, None]
+    return np.stack([np.bincount(a, weights=each[:, i], minlength=len(rows)) for i in range(k)], axis=1)
+
+
+class Background:
+    """The leaves of a forest with the masks of the background rows."""
+
+    def __init__(self, trees: list[dict[str, np.ndarray]], z: np.ndarray):
+        self.trees, self.leaves, self.base = len(trees), [], 0.0
+        for t in trees:
+            for feats, lo, hi, value in leaf_boxes(t):
+                if not len(feats):
+                    self.base += value
+                    continue
+                masks, n = np.unique(_masks(z, feats, lo, hi), return_counts=True)
+                share = n / len(z)
+                self.base += value * float(share[masks == (1 << len(feats)) - 1].sum())
+                self.leaves.append((feats, lo, hi, value, masks, share))
+        self.base /= self.trees
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features) Shapley values of the forest's mean positive probability."""
+        phi = np.zeros_like(x)
+        for feats, lo, hi, value, masks, share in self.leaves:
+            rows, place = np.unique(_masks(x, feats, lo, hi), return_inverse=True)
+            phi[:, feats] += value * _credits(rows, masks, share, len(feats))[place]
+        return phi / self.trees
+
+
+def background_shap(fitted: Fitted, df: DataFrame, background: DataFrame, key: str = "LoanID") -> DataFrame:
+    """key, Values, Phis (arrays in feature order), BaseValue for every row of ``df``: exact
+    interventional Shapley values of the forest against the rows of ``background``, which
+    must be a bounded sample.  BaseValue is the forest's mean over the background."""
+    spark = df.sparkSession
+    feats = list(fitted.features)
+    background = model_inputs(fitted, background, key).select(feats)
+    rows = background.count()
+    if not 0 < rows <= MAX_BACKGROUND:
+        raise ValueError(f"a background has 1 to {MAX_BACKGROUND} rows, not {rows}")
+    sent = spark.sparkContext.broadcast((tree_arrays(spark, save_forest(spark, fitted.model.stages[-1])),
+                                         background.toPandas().to_numpy(dtype=float)))
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        against = None
+        for b in batches:
+            if b.empty:
+                continue
+            against = against or Background(*sent.value)
+            x = b[feats].to_numpy(dtype=float)
+            yield pd.DataFrame({key: b[key].to_numpy(), "Values": list(x), "Phis": list(against.values(x)),
+                                "BaseValue": np.full(len(b), against.base)})
+
+    return model_inputs(fitted, df, key).mapInPandas(explain, f"{key} long, Values array<double>, Phis array<double>, BaseValue double")
+
+
 def shap_summary(phi: DataFrame) -> DataFrame:
     """Feature, MeanAbsPhi (global importance), largest first."""
     return (phi.groupBy("Feature").agg(F.avg(F.abs("Phi")).alias("MeanAbsPhi"))

@@ -47,6 +47,13 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
         "LoanID", *[F.col(f"_s.{c}").alias(c) for c in SNAPSHOT_FIELDS])
 
 
+def label_table(loans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """LoanID and DefaultFlag of every loan, as in ``base_table`` but from the loans and
+    their latest snapshots alone."""
+    return join_latest_snapshot(loans.select("LoanID"), snapshots).select(
+        "LoanID", F.coalesce("DefaultFlag", F.lit(0)).cast("int").alias("DefaultFlag"))
+
+
 def join_repayments(loans: DataFrame, agg: DataFrame) -> DataFrame:
     return loans.join(agg, "LoanID", "left")
 

@@ -4,26 +4,32 @@ folds, importances, scoring, model comparison.
 
 Training data is persisted for the duration of a fit (the optimisers and the
 tree builder scan it once per iteration / depth level) and released after.
+Forests keep each row's node in every tree beside the row (cached node ids,
+checkpointed every few levels), so no task carries the forest that is growing.
 Per-feature statistics (means, stds, class counts) are bounded by the number
 of features or classes and travel to the executors as literals.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.columns import positive_probability
 from loanscope.operators.features import NUMERIC_FEATURES
+from loanscope.operators.trees import cut_back, importances_of, node_table, save_forest, score_settings, with_forest
+from loanscope.session import ensure_checkpoint_dir
 
 LABEL = "DefaultFlag"
 
@@ -77,15 +83,20 @@ def _prepared(features: list[str], nullable: list[str]) -> tuple[list, list[str]
     return stages, cols
 
 
-#: Partitions of a training frame.  Bagging seeds follow partitions and row
-#: order, so the layout is fixed by key and by this number, never by the cores;
-#: raise it with the data (a model then differs, as with another seed).
+#: Rows of one partition of a training frame, and partitions of a small one.
+TRAIN_ROWS = 200_000
 TRAIN_PARTITIONS = 16
 
 
-def laid_out(df: DataFrame, key: str = "LoanID", partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+def train_partitions(rows: int) -> int:
+    """Partitions of a training frame of ``rows`` rows.  Bagging seeds follow partitions and
+    row order, so the number depends on the rows alone, never on the cores."""
+    return max(TRAIN_PARTITIONS, math.ceil(rows / TRAIN_ROWS))
+
+
+def laid_out(df: DataFrame, key: str = "LoanID", partitions: int | None = None) -> DataFrame:
     """The training rows dealt and sorted by key."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
+    return df.repartition(partitions or train_partitions(df.count()), key).sortWithinPartitions(key)
 
 
 def as_double_features(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
@@ -132,61 +143,128 @@ def train_logistic(train: DataFrame, features: list[str], weight: str | None = "
     return Fitted(model, features, "LogisticRegression", scale)
 
 
+def _forest(spark: SparkSession, weight: str | None, seed: int, **params) -> RandomForestClassifier:
+    """Gini forest over cached node ids, whose lineage is cut in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", impurity="gini", seed=seed, cacheNodeIds=True,
+                                checkpointInterval=10, **params)
+    return rf.setWeightCol(weight) if weight else rf
+
+
 def train_forest(train: DataFrame, features: list[str], weight: str | None = "weight", num_trees: int = 200,
                  max_depth: int = 30, min_instances: int = 1, subset: str = "sqrt", seed: int = 42,
-                 max_bins: int = 32, name: str = "RandomForest") -> Fitted:
-    """Random forest (Gini); max_depth None in the reference maps to Spark's cap of 30."""
-    data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
+                 max_bins: int = 32, name: str = "RandomForest", min_split: int = 2, partitions: int | None = None) -> Fitted:
+    """Random forest (Gini); max_depth None in the reference maps to Spark's cap of 30.
+    ``min_split``: rows below which a node is not split."""
+    spark = train.sparkSession
+    data = laid_out(as_double_features(train, features), partitions=partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = _prepared(features, features)
-        rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
-                                    minInstancesPerNode=min_instances, featureSubsetStrategy=subset, seed=seed,
-                                    maxBins=max_bins, impurity="gini")
-        if weight:
-            rf.setWeightCol(weight)
+        rf = _forest(spark, weight, seed, numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_instances,
+                     featureSubsetStrategy=subset, maxBins=max_bins)
         model = Pipeline(stages=stages + [rf]).fit(data)
     finally:
         data.unpersist()
+    if min_split > 2:
+        model = with_forest(model, cut_back(spark, save_forest(spark, model.stages[-1]), min_split))
     return Fitted(model, features, name)
 
 
-# The random-search space (n_estimators, max_depth, min_samples_leaf, max_features).
+# The random-search space (n_estimators, max_depth, min_samples_split, min_samples_leaf, max_features).
 SEARCH_SPACE = {
     "numTrees": [100, 200, 400],
     "maxDepth": [6, 10, 15, 30],
+    "minSamplesSplit": [2, 5, 10],
     "minInstancesPerNode": [1, 2, 4],
     "featureSubsetStrategy": ["sqrt", "log2", "all"],
 }
 
 
+def draw(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
+    """Seeded sample of grid points, without repeats."""
+    points = [dict(zip(space, v)) for v in itertools.product(*space.values())]
+    return random.Random(seed).sample(points, min(n_iter, len(points)))
+
+
+def shared_fits(points: list[dict]) -> list[tuple[dict, list[int]]]:
+    """(parameters of a fit, points that it serves): trees, depth and rows a split are cut
+    back from the largest forest with the same leaf size and feature subset."""
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        groups.setdefault((p["minInstancesPerNode"], p["featureSubsetStrategy"]), []).append(i)
+    return [({"minInstancesPerNode": leaf, "featureSubsetStrategy": subset,
+              "numTrees": max(points[i]["numTrees"] for i in at), "maxDepth": max(points[i]["maxDepth"] for i in at)}, at)
+            for (leaf, subset), at in groups.items()]
+
+
 def random_search(train: DataFrame, features: list[str], fold_col: str = "fold", folds: int = 3, n_iter: int = 20, seed: int = 42,
-                  weight: str | None = "weight", parallelism: int = 4,
+                  weight: str | None = "weight", parallelism: int = 3,
                   space: dict[str, list] | None = None) -> tuple[Fitted, list[tuple[dict, float]]]:
     """Seeded sample of ``n_iter`` grid points, k-fold CV on the given stratified
-    folds 0 to ``folds`` - 1 (exact ROC-AUC), refit of the best on all training rows."""
-    space = space or SEARCH_SPACE
+    folds 0 to ``folds`` - 1 (exact ROC-AUC), refit of the best on all training rows.
+
+    Points that differ only in trees, depth or rows a split share one deep fit a fold,
+    cut back to each of them when the fold is scored; ``parallelism`` fits run at once."""
+    points = draw(space or SEARCH_SPACE, n_iter, seed)
+    spark = train.sparkSession
+    stages, inputs = _prepared(features, features)
     data = laid_out(as_double_features(train, features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages, _ = _prepared(features, features)
-        rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, impurity="gini")
-        if weight:
-            rf.setWeightCol(weight)
-        grid = ParamGridBuilder()
-        for k, values in space.items():
-            grid = grid.addGrid(rf.getParam(k), values)
-        points = grid.build()
-        rng = random.Random(seed)
-        chosen = rng.sample(points, min(n_iter, len(points)))
-        cv = CrossValidator(estimator=Pipeline(stages=stages + [rf]), estimatorParamMaps=chosen,
-                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0),
-                            numFolds=folds,
-                            foldCol=fold_col, parallelism=parallelism, seed=seed)
-        cvm = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
-        results = [({p.name: v for p, v in pm.items()}, float(m)) for pm, m in zip(chosen, cvm.avgMetrics)]
-        best = cvm.bestModel
+        prepared = []
+        for f in range(folds):
+            ready = Pipeline(stages=stages).fit(data.where(F.col(fold_col) != f))
+            prepared.append((ready.transform(data.where(F.col(fold_col) != f)).persist(StorageLevel.MEMORY_AND_DISK),
+                             ready.transform(data.where(F.col(fold_col) == f))))
+
+        def run(task) -> dict[int, float]:
+            (fit, at), (known, held) = task
+            path = save_forest(spark, _forest(spark, weight, seed, **fit).fit(known))
+            scored = score_settings(path, held, inputs, [points[i] for i in at], ["label"]).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="p", metricName="areaUnderROC", numBins=0)
+                return {i: auc.evaluate(scored.select("label", F.get("Scores", F.lit(k)).alias("p"))) for k, i in enumerate(at)}
+            finally:
+                scored.unpersist()
+
+        tasks = sorted(itertools.product(shared_fits(points), prepared), key=lambda t: -t[0][0]["numTrees"] * t[0][0]["maxDepth"])
+        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+            found = pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
+        for known, _ in prepared:
+            known.unpersist()
     finally:
         data.unpersist()
-    return Fitted(best, features, "RandomForest_tuned"), results
+    results = [(p, sum(r[i] for r in found if i in r) / folds) for i, p in enumerate(points)]
+    best = max(results, key=lambda r: r[1])[0]
+    model = train_forest(train, features, weight, best["numTrees"], best["maxDepth"], best["minInstancesPerNode"],
+                         best["featureSubsetStrategy"], seed, name="RandomForest_tuned", min_split=best.get("minSamplesSplit", 2))
+    return model, results
+
+
+def logistic_gradient(fitted: Fitted, train: DataFrame, c: float = 1.0, weight: str = "weight") -> DataFrame:
+    """Feature, Coefficient, Gradient of the penalised loss that ``train_logistic`` minimises, at the
+    fitted coefficients: one aggregate over the training rows, from the exported numbers alone.  All
+    gradients are near 0 at the optimum; the intercept (Feature '(intercept)') has no penalty."""
+    stages = fitted.model.stages
+    lr, imputer = stages[-1], stages[0]
+    known = imputer.surrogateDF.first().asDict()
+    weights = [float(x) for x in lr.coefficients.toArray()]
+    inputs = []
+    for f in fitted.features:
+        mean, std = fitted.scale.get(f, (0.0, 1.0))
+        inputs.append((F.coalesce(F.col(f), F.lit(float(known[f]))) - F.lit(float(mean))) / F.lit(float(std)))
+    data = as_double_features(train, fitted.features).select(
+        F.col("label"), F.col(weight).alias("s"), F.array(*inputs).alias("z"))
+    margin = F.aggregate(F.zip_with("z", F.array(*map(F.lit, weights)), lambda z, w: z * w), F.lit(float(lr.intercept)), lambda a, x: a + x)
+    off = F.col("s") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("m"))) - F.col("label"))
+    rows = data.withColumn("m", margin).withColumn("off", off)
+    sums = rows.agg(F.sum("s").alias("total"), F.sum("off").alias("bias"),
+                    *[F.sum(F.col("off") * F.get("z", F.lit(i))).alias(f"g{i}") for i in range(len(weights))])
+    cells = [F.struct(F.lit(f).alias("Feature"), F.lit(w).alias("Coefficient"),
+                      ((F.col(f"g{i}") + F.lit(w / c)) / F.col("total")).alias("Gradient"))
+             for i, (f, w) in enumerate(zip(fitted.features, weights))]
+    cells.append(F.struct(F.lit("(intercept)").alias("Feature"), F.lit(float(lr.intercept)).alias("Coefficient"),
+                          (F.col("bias") / F.col("total")).alias("Gradient")))
+    return sums.select(F.inline(F.array(*cells)))
 
 
 def score(fitted: Fitted, df: DataFrame, threshold: float | None = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -200,13 +278,9 @@ def score(fitted: Fitted, df: DataFrame, threshold: float | None = 0.5, keep: li
 
 
 def importances(fitted: Fitted, spark: SparkSession | None = None) -> DataFrame:
-    """Feature, Importance (Gini importances of the forest, summing to 1).
-
-    A model attribute (one value per feature), turned into a small frame."""
-    rf = fitted.model.stages[-1]
-    vals = rf.featureImportances.toArray().tolist()
+    """Feature, Importance (Gini decreases of the forest, summing to 1), aggregated from its node table."""
     spark = spark or SparkSession.getActiveSession()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(fitted.features, vals)], "Feature string, Importance double")
+    return importances_of(node_table(spark, save_forest(spark, fitted.model.stages[-1])), fitted.features)
 
 
 def top_features(imp: DataFrame, n: int = 20) -> DataFrame:

@@ -140,16 +140,17 @@ def _locate(x: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]]
 
 
 def segment(df: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]], seed: int = 42,
-            out: str = "_segment", materialize: bool = True) -> DataFrame:
+            out: str = "_segment", materialize: bool = True, labels: DataFrame | None = None) -> DataFrame:
     """df + ``out``: the number of cut ranks strictly before the row's rank in
     its class (hash order); ``cuts(n_class)`` gives the sorted inclusive cut ranks.
 
     Three small aggregate jobs for all classes and cuts together (coarse range
     counts, fine range counts inside the selected coarse ranges, key counts
     inside the selected fine ranges) over the key and the label alone, then one
-    row-local expression on the rows as they are."""
+    row-local expression on the rows as they are.  ``labels`` may give the same keys
+    and labels by a cheaper plan than ``df``, which is then read only once, by the caller."""
     columns = list(dict.fromkeys([label, key]))
-    wanted = _locate(_with_order(df.select(*columns), key, seed, materialize), label, key, cuts)
+    wanted = _locate(_with_order((df if labels is None else labels).select(*columns), key, seed, materialize), label, key, cuts)
     if any(w[2] is not None and w[-1][2] is not None for w in wanted):
         # A cut among the copies of one key: row ids tell them apart, so they must stay fixed.
         x = _with_order(df, key, seed, True)
@@ -176,9 +177,9 @@ def segment(df: DataFrame, label: str, key: str, cuts: Callable[[int], list[int]
 
 
 def stratified_split(df: DataFrame, label: str = "DefaultFlag", key: str = "LoanID", test: float = 0.2,
-                     seed: int = 42, materialize: bool = True) -> DataFrame:
+                     seed: int = 42, materialize: bool = True, labels: DataFrame | None = None) -> DataFrame:
     """df + IsTest (0/1): per class, the first ceil(test * n_class) rows in hash order."""
-    s = segment(df, label, key, lambda n: [math.ceil(n * float(test))], seed, "_seg", materialize)
+    s = segment(df, label, key, lambda n: [math.ceil(n * float(test))], seed, "_seg", materialize, labels)
     return s.withColumn("IsTest", (F.col("_seg") == 0).cast("int")).drop("_seg")
 
 

@@ -41,6 +41,7 @@ UPDATES_FROM = "1997-01-01"
 PRIOR_THRESHOLD = 0.5
 NEW_THRESHOLD = 0.3
 SAMPLE_N = 1000
+DEPENDENCE_BINS = 20
 
 
 def register(name: str):
@@ -62,9 +63,19 @@ def base(b: LoanBook) -> DataFrame:
     return FT.base_table(b.loans, b.customers, b.repayments, b.snapshots, b.macro)
 
 
+def labels(b: LoanBook) -> DataFrame:
+    """LoanID and DefaultFlag of the base table, without building it."""
+    return FT.label_table(b.loans, b.snapshots)
+
+
 def split(b: LoanBook) -> DataFrame:
-    """Base table + IsTest; the base table is checkpointed once by the split."""
-    return S.stratified_split(base(b), "DefaultFlag", "LoanID", 0.2, 42)
+    """Base table + IsTest; the cuts come from the labels alone, so the base table is read once."""
+    return S.stratified_split(base(b), "DefaultFlag", "LoanID", 0.2, 42, labels=labels(b))
+
+
+def label_split(b: LoanBook) -> DataFrame:
+    """LoanID, DefaultFlag, IsTest of the same split."""
+    return S.stratified_split(labels(b), "DefaultFlag", "LoanID", 0.2, 42)
 
 
 def scored_base(b: LoanBook) -> DataFrame:
@@ -317,12 +328,12 @@ def _f7(spark, b):
 
 @register("m1_stratified_split")
 def _m1(spark, b):
-    return split(b).select("LoanID", "DefaultFlag", "IsTest")
+    return label_split(b)
 
 
 @register("m1_folds")
 def _m1f(spark, b):
-    return S.add_folds(split(b).filter("IsTest = 0"), "DefaultFlag", "LoanID", 3, 42).select(
+    return S.add_folds(label_split(b).filter("IsTest = 0"), "DefaultFlag", "LoanID", 3, 42).select(
         "LoanID", "DefaultFlag", "fold")
 
 
@@ -471,20 +482,33 @@ def score_rows(sb: DataFrame, threshold: float) -> DataFrame:
                      flag_at("PredProb", threshold).alias("PredFlag"))
 
 
-@register("k2_upsert_scores")
-def _k2(spark, b):
-    """Scores of the pre-1998 book (earlier run) merged with a re-score of loans from 1997 on."""
+def score_runs(b: LoanBook) -> tuple[DataFrame, DataFrame]:
+    """Scores of the pre-1998 book (earlier run), and a re-score of loans from 1997 on."""
     sb = scored_base(b).select("LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", "PredProb",
                                "OriginationDate").checkpoint(eager=True)  # read by both sides of the merge
     early = F.col("OriginationDate").isNull() | (F.col("OriginationDate") < F.lit(TARGET_BEFORE).cast("date"))
-    target = U.with_load_timestamp(
-        score_rows(sb.filter(early), PRIOR_THRESHOLD),
-        "ScoreDate", PRIOR_SCORE_TS)
-    target = readers.as_table(target, schemas.SCORES)
-    updates = score_rows(sb.filter(F.col("OriginationDate") >= F.lit(UPDATES_FROM).cast("date")), NEW_THRESHOLD)
+    return (score_rows(sb.filter(early), PRIOR_THRESHOLD),
+            score_rows(sb.filter(F.col("OriginationDate") >= F.lit(UPDATES_FROM).cast("date")), NEW_THRESHOLD))
+
+
+@register("k2_upsert_scores")
+def _k2(spark, b):
+    """The earlier run's scores merged with the re-score."""
+    prior, updates = score_runs(b)
+    target = readers.as_table(U.with_load_timestamp(prior, "ScoreDate", PRIOR_SCORE_TS), schemas.SCORES)
     return U.upsert_scores(target, updates, UPSERT_TS)
 
 
+@register("k2_table_upsert")
+def _k2t(spark, b):
+    """The same merge in the stored table: two commits, the second rewrites the buckets of its loans."""
+    root = scratch_path(spark, "scores")
+    prior, updates = score_runs(b)
+    U.commit_upsert(spark, root, prior, PRIOR_SCORE_TS)
+    U.commit_upsert(spark, root, updates, UPSERT_TS)
+    return U.read_current(spark, root)
+
+
 # ---- models (pyspark.ml) ---------------------------------------------------------------------------
 # Fitted models are cached per (session, input files) so the model-based entries
 # share one fit each; fits are seeded and laid out by key, so the same rows give
@@ -536,8 +560,8 @@ def _test(spark, b) -> DataFrame:
 @register("m2_standardize")
 def _m2(spark, b):
     """Numeric features standardised with training-split mean and population std."""
-    f = FT.add_features(split(b), AS_OF)
     cols = FT.NUMERIC_FEATURES
+    f = FT.add_features(split(b), AS_OF).select("LoanID", "IsTest", *cols).checkpoint(eager=True)
     out = M.standardize_with(f.filter("IsTest = 0"), f.select("LoanID", *cols), cols)
     return out.select("LoanID", *[F.round(c, 9).alias(c) for c in cols])
 
@@ -545,7 +569,7 @@ def _m2(spark, b):
 @register("m3_balanced_weights")
 def _m3(spark, b):
     """Training rows with weight n / (2 n_class)."""
-    return M.balanced_weights(split(b).filter("IsTest = 0").select("LoanID", "DefaultFlag"))
+    return M.balanced_weights(label_split(b).filter("IsTest = 0").select("LoanID", "DefaultFlag"))
 
 
 @register("m4_logistic_scores")
@@ -604,8 +628,7 @@ def _k6(spark, b):
 
 @register("k1_ensure_score_table")
 def _k1(spark, b):
-    """Score table created when absent (typed, empty version 0), the scored book
-    committed as the next version through the versioned upsert, then read back."""
+    """Score table created when absent (typed, empty), the scored book committed to it, then read back."""
     root = scratch_path(spark, "scores")
     U.ensure_score_table(spark, root)
     U.commit_upsert(spark, root, score_rows(scored_base(b), PRIOR_THRESHOLD), UPSERT_TS)
@@ -672,11 +695,25 @@ def _m4a(spark, b):
     return M.score(fitted, enc.filter("IsTest = 1"), 0.5)
 
 
+def _chosen(spark, b) -> tuple[str, M.Fitted]:
+    """Name and fit of the model that the comparison chooses by AUC."""
+    name = _cached(spark, b, "chosen", lambda: M.choose(REGISTRY_RAW["m11_model_comparison"](spark, b), "AUC"))
+    return name, {"LogisticRegression": logistic, "RandomForest": forest, "RandomForest_SMOTE": smote_forest}[name](spark, b)
+
+
 @register("m11_chosen_model")
 def _m11c(spark, b):
     """The model that the comparison chooses by AUC."""
-    name = M.choose(REGISTRY_RAW["m11_model_comparison"](spark, b), "AUC")
-    return spark.createDataFrame([(name,)], "Model string")
+    return spark.createDataFrame([(_chosen(spark, b)[0],)], "Model string")
+
+
+@register("m10_score_chosen")
+def _m10c(spark, b):
+    """Every loan scored by the chosen model at its max-F1 threshold."""
+    name, fitted = _chosen(spark, b)
+    threshold = E.best_threshold(M.score(fitted, _test(spark, b), None))
+    sc = M.score(fitted, training_frame(spark, b)[0], threshold, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount"])
+    return U.with_load_timestamp(sc, "ScoreDate", UPSERT_TS).withColumn("Model", F.lit(name))
 
 
 @register("x2_linear_shap")
@@ -698,6 +735,28 @@ def _x1(spark, b):
     return X.long_form(_tree_phi(spark, b), forest(spark, b).features)
 
 
+def background(spark, b) -> DataFrame:
+    """Seeded sample of the training rows, the reference point of the attributions."""
+    return _cached(spark, b, "background", lambda: S.seeded_sample(
+        training_frame(spark, b)[0].filter("IsTest = 0"), "LoanID", SAMPLE_N, 42).checkpoint(eager=True))
+
+
+def _background_phi(spark, b) -> DataFrame:
+    return _cached(spark, b, "background_phi", lambda: X.background_shap(
+        forest(spark, b), training_frame(spark, b)[0], background(spark, b)).checkpoint(eager=True))
+
+
+@register("x1_background")
+def _x1b(spark, b):
+    """Attributions of the forest for every loan against a 1,000-row sample (long form)."""
+    return X.long_form(_background_phi(spark, b), forest(spark, b).features)
+
+
+@register("x3_background_summary")
+def _x3b(spark, b):
+    return X.summary_of_rows(_background_phi(spark, b), forest(spark, b).features)
+
+
 @register("x3_shap_summary")
 def _x3(spark, b):
     return X.summary_of_rows(_tree_phi(spark, b), forest(spark, b).features)
@@ -710,6 +769,13 @@ def _x4(spark, b):
     return X.dependence_of_rows(_tree_phi(spark, b), forest(spark, b).features, top)
 
 
+@register("x4_dependence_bins")
+def _x4b(spark, b):
+    """Mean attribution per value bin of the top-importance feature."""
+    top = M.top_features(M.importances(forest(spark, b), spark), 1).first()["Feature"]
+    return X.dependence(X.long_form(_tree_phi(spark, b), forest(spark, b).features), top, DEPENDENCE_BINS)
+
+
 # ---- oversampling ----------------------------------------------------------------------------------
 
 

@@ -132,7 +132,7 @@ def model_job(spark: SparkSession, book: LoanBook, out: str, cfg: ModelJobConfig
 
     all_scored = M.score(chosen, enc, threshold, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount"])
     table_root = os.path.join(out, "PredictedLoanScores")
-    paths["scores_version"] = U.commit_upsert(spark, table_root, all_scored, cfg.score_ts)
+    paths["scores_buckets"] = U.commit_upsert(spark, table_root, all_scored, cfg.score_ts)
 
     predictions = R.with_customer_dims(
         M.score(chosen, enc, threshold, keep=["LoanID", "CustomerID", "LoanAmount", "OutstandingAmount", "DefaultFlag"]),

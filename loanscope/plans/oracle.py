@@ -460,6 +460,7 @@ FROM v_scored_base""",
     "k5_eval_json": f"SELECT Model, ROC_AUC, AvgPrecision_PR_AUC, DefaultRate, TestSize, Threshold AS ThresholdUsed FROM ({_E9_COLUMNS}) e",
 }
 SQL["e9_eval_summary"] = _E9_COLUMNS
+SQL["k2_table_upsert"] = SQL["k2_upsert_scores"]
 SQL["s6_load_tables"] = SQL["a1_table_counts"]
 SQL["m7_smote_knn"] = _knn_sql(5)
 SQL["m7_smote"] = _smote_sql(5, 0.3, 42)

@@ -1,19 +1,18 @@
 """Micro-batch scoring and upsert over a file stream.
 
-The batch job scores a loan book and MERGEs the scores into the versioned
+The batch job scores a loan book and MERGEs the scores into the
 PredictedLoanScores table.  The same step runs incrementally here: new
 feature files arriving in a folder are read with ``readStream`` (schema
 fixed, never inferred), each micro-batch is scored by the fitted pipeline
-and committed as the next table version inside ``foreachBatch``.  The
+and merged into the table inside ``foreachBatch``.  The
 stream's own checkpoint (in the shared checkpoint folder) records which
-files were processed, and a batch re-run after a failure writes a fresh
-version, so a replay never exposes a half-written table.
+files were processed, and a batch re-run after a failure merges the same
+rows again, which changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -31,7 +30,7 @@ def score_batch(fitted: M.Fitted, batch: DataFrame, threshold: float) -> DataFra
 def start_scoring_stream(spark: SparkSession, source_dir: str, schema: StructType, fitted: M.Fitted,
                          table_root: str, threshold: float, ts: str, checkpoint: str | None = None,
                          available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream: parquet files in ``source_dir`` -> scores -> next version of ``table_root``.
+    """Start the stream: parquet files in ``source_dir`` -> scores -> merged into ``table_root``.
 
     ``ts`` stamps ScoreDate (a parameter, so replays are reproducible)."""
     reader = spark.readStream.schema(schema)
@@ -48,9 +47,3 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, schema: StructTyp
               .option("checkpointLocation", checkpoint or scratch_path(spark, "scoring-stream")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
-
-
-def scored_versions(spark: SparkSession, table_root: str) -> DataFrame:
-    """Version number and row count of every committed version (for monitoring)."""
-    rows = [(v, spark.read.parquet(f"{table_root}/v{v:08d}").count()) for v in U.committed_versions(spark, table_root)]
-    return spark.createDataFrame(rows, "Version int, N long").orderBy(F.col("Version"))

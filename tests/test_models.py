@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loanscope.operators import explain as X
 from loanscope.operators import metrics as E
 from loanscope.operators import models as M
+from loanscope.operators import trees as T
 from loanscope.plans import catalog as C
 from loanscope.sources import sinks
 
@@ -207,3 +208,119 @@ def test_registered_search_draws_twenty_points(spark, monkeypatch):
     rows = C.REGISTRY["m6_random_search"](spark, "/root/testdata/sf0.001").collect()
     assert asked == {"folds": 3, "n_iter": 20}
     assert len(rows) == 20 and [r.AvgAUC for r in rows] == sorted((r.AvgAUC for r in rows), reverse=True)
+
+
+# ---- node tables: forests cut back, importances, background attributions ----------------------------
+
+def _deep_forest(spark, **more):
+    df = _tiny_book(spark, 600)
+    return df, M.train_forest(df, ["a", "b", "d"], weight=None, num_trees=6, max_depth=12, seed=3, **more)
+
+
+def _brute_tree(t, x, j=0, depth=0, min_rows=2, max_depth=99):
+    """Value of the first node on the row's way that would not have been split."""
+    if t["feature"][j] < 0 or t["rows"][j] < min_rows or depth >= max_depth:
+        return t["value"][j]
+    child = t["left"][j] if x[t["feature"][j]] <= t["threshold"][j] else t["right"][j]
+    return _brute_tree(t, x, int(child), depth + 1, min_rows, max_depth)
+
+
+@pytest.mark.parametrize("rows,depth,trees", [(2, None, None), (5, None, None), (40, None, 4), (2, 3, 6), (30, 2, 1), (10_000, None, 2), (2, 0, 3)])
+def test_forest_cut_back_equals_stopping_there(spark, rows, depth, trees):
+    df, fitted = _deep_forest(spark)
+    path = T.save_forest(spark, fitted.model.stages[-1])
+    full = T.tree_arrays(spark, path)
+    cut = T.cut_back(spark, path, rows, depth, trees)
+    assert cut.getNumTrees == (trees or 6) and cut.numFeatures == 3
+    nodes = T.node_table(spark, T.save_forest(spark, cut))
+    assert nodes.where((F.col("left") >= 0) & (F.col("rows") < rows)).count() == 0
+    sample = df.limit(60)
+    x = np.array([[r.a, r.b, r.d] for r in sample.collect()], dtype=float)
+    want = [np.mean([_brute_tree(t, row, 0, 0, rows, 99 if depth is None else depth) for t in full[:trees or 6]]) for row in x]
+    got = [r.PredProb for r in M.score(M.Fitted(T.with_forest(fitted.model, cut), fitted.features, "cut"), sample, None).collect()]
+    assert np.allclose(got, want, atol=1e-12)
+    settings = [{"numTrees": trees or 6, "maxDepth": 99 if depth is None else depth, "minSamplesSplit": rows}]
+    assert np.allclose(T.scores_of_settings(full, x, settings)[:, 0], want, atol=1e-12)
+
+
+def test_training_with_a_least_split_size(spark):
+    _, fitted = _deep_forest(spark, min_split=50)
+    nodes = T.node_table(spark, T.save_forest(spark, fitted.model.stages[-1]))
+    assert nodes.where("left >= 0 AND rows < 50").count() == 0 and nodes.where("left >= 0").count() > 6
+
+
+def test_importances_equal_the_models_own(spark):
+    _, fitted = _deep_forest(spark)
+    own = fitted.model.stages[-1].featureImportances.toArray()
+    got = {r.Feature: r.Importance for r in M.importances(fitted, spark).collect()}
+    assert np.allclose([got[f] for f in fitted.features], own, atol=1e-12)
+    stump = T.cut_back(spark, T.save_forest(spark, fitted.model.stages[-1]), max_depth=0)   # no split anywhere
+    none = T.importances_of(T.node_table(spark, T.save_forest(spark, stump)), ["a", "b", "d"]).collect()
+    assert [r.Importance for r in none] == [0.0, 0.0, 0.0]
+
+
+def test_search_grid_has_all_five_dimensions():
+    assert math.prod(len(v) for v in M.SEARCH_SPACE.values()) == 324
+    points = M.draw(M.SEARCH_SPACE, 20, 42)
+    assert len({str(p) for p in points}) == 20
+    served = sorted(i for _, at in M.shared_fits(points) for i in at)
+    assert served == list(range(20))
+    for fit, at in M.shared_fits(points):
+        assert all(points[i]["numTrees"] <= fit["numTrees"] and points[i]["maxDepth"] <= fit["maxDepth"] for i in at)
+
+
+def test_search_refits_the_best_point(spark):
+    from loanscope.operators import sampling as S
+
+    df = S.add_folds(_tiny_book(spark), k=2)
+    space = {"numTrees": [3, 5], "maxDepth": [2, 4], "minSamplesSplit": [2, 60], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    best, results = M.random_search(df, ["a", "b"], folds=2, n_iter=8, weight=None, space=space)
+    top = max(results, key=lambda r: r[1])[0]
+    assert len(results) == 8 and best.model.stages[-1].getNumTrees == top["numTrees"]
+
+
+def _game(trees, x, z, s):
+    """Mean over the background of the forest with the features of ``s`` from x, the others from z."""
+    mixed = z.copy()
+    mixed[:, list(s)] = x[list(s)]
+    return np.mean([[_brute_tree(t, row) for row in mixed] for t in trees])
+
+
+def test_background_shap_equals_brute_force_shapley():
+    rng = np.random.default_rng(4)
+    m = 4
+    for _ in range(4):
+        trees = [_rand_tree(rng, m, 6) | {"rows": np.full(200, 99)} for _ in range(3)]
+        z, x = rng.random((9, m)), rng.random((5, m))
+        z[3] = z[4]
+        against = X.Background(trees, z)
+        got = against.values(x)
+        assert against.base == pytest.approx(_game(trees, x[0], z, ()), abs=1e-12)
+        for r in range(len(x)):
+            for i in range(m):
+                want = sum(math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+                           * (_game(trees, x[r], z, (*s, i)) - _game(trees, x[r], z, s))
+                           for k in range(m) for s in itertools.combinations([j for j in range(m) if j != i], k))
+                assert got[r, i] == pytest.approx(want, abs=1e-12)
+
+
+def test_background_shap_is_additive_and_bounded(spark, monkeypatch):
+    df, fitted = _deep_forest(spark)
+    z = df.limit(80)
+    rows = X.background_shap(fitted, df.repartition(3), z)
+    base = M.score(fitted, z, None).agg(F.avg("PredProb")).first()[0]
+    both = rows.join(M.score(fitted, df, None, keep=["LoanID"]), "LoanID").collect()
+    assert len(both) == 600 and max(abs(sum(r.Phis) + r.BaseValue - r.PredProb) for r in both) < 1e-9
+    assert all(abs(r.BaseValue - base) < 1e-9 for r in both)
+    monkeypatch.setattr(X, "MAX_BACKGROUND", 79)
+    with pytest.raises(ValueError):
+        X.background_shap(fitted, df, z)
+
+
+def test_gradient_is_flat_at_the_fit_and_not_beside_it(spark, fitted, book):
+    _, lr, _ = fitted
+    train = C._train_weighted(spark, book)
+    worst = M.logistic_gradient(lr, train).agg(F.max(F.abs("Gradient"))).first()[0]
+    assert worst < 1e-4
+    wrong = M.Fitted(lr.model, lr.features, lr.name, {f: (m, s * 1.2) for f, (m, s) in lr.scale.items()})
+    assert M.logistic_gradient(wrong, train).agg(F.max(F.abs("Gradient"))).first()[0] > 1e-3

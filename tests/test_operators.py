@@ -179,14 +179,30 @@ def test_upsert_idempotent_and_last_wins(spark):
     assert empty.count() == 2
 
 
-def test_commit_upsert_versions(spark, tmp_path):
-    root = str(tmp_path / "scores")
-    upd = spark.createDataFrame([(2, 0.5, 1), (3, 0.7, 1)], "LoanID long, PredProb double, PredFlag int")
-    p1 = U.commit_upsert(spark, root, upd, "2002-01-01 00:00:00")
-    p2 = U.commit_upsert(spark, root, upd, "2002-01-02 00:00:00")
-    assert U.committed_versions(spark, root) == [0, 1, 2]
-    assert p1 != p2
-    assert U.read_current(spark, root).count() == 2
+def _files(root):
+    return {str(p): p.stat().st_size for p in root.rglob("*.parquet")}
+
+
+def test_commit_rewrites_touched_buckets_only(spark, tmp_path):
+    """Bytes written follow the updates, not the table."""
+    root = tmp_path / "scores"
+    assert U.read_current(spark, str(root)).count() == 0
+    book = spark.range(20_000).selectExpr("id AS LoanID", "id * 0.5 AS PredProb", "1 AS PredFlag")
+    assert U.commit_upsert(spark, str(root), book, "2002-01-01 00:00:00") == list(range(U.BUCKETS))
+    before = _files(root)
+    upd = spark.createDataFrame([(2, 9.5, 0), (2, 9.0, 1), (77_777, 0.7, 1)], "LoanID long, PredProb double, PredFlag int")
+    touched = U.commit_upsert(spark, str(root), upd, "2002-01-02 00:00:00")
+    after = _files(root)
+    assert 1 <= len(touched) <= 2
+    written = {p: n for p, n in after.items() if p not in before}
+    assert {p.split("KeyBucket=")[1].split("/")[0] for p in written} == {str(t) for t in touched}
+    assert sum(written.values()) < 0.1 * sum(before.values())
+    now = {r.LoanID: (r.PredProb, str(r.ScoreDate)[:10]) for r in U.read_current(spark, str(root)).collect()}
+    assert len(now) == 20_001 and now[2] == (9.5, "2002-01-02") and now[3] == (1.5, "2002-01-01") and now[77_777][0] == 0.7
+    # The same commit again changes nothing; no updates touch nothing.
+    U.commit_upsert(spark, str(root), upd, "2002-01-02 00:00:00")
+    assert {r.LoanID: (r.PredProb, str(r.ScoreDate)[:10]) for r in U.read_current(spark, str(root)).collect()} == now
+    assert U.commit_upsert(spark, str(root), upd.limit(0), "2002-01-03 00:00:00") == []
 
 
 def test_expected_loss_linear_in_lgd(book):
