@@ -10,6 +10,9 @@ taken from another tokenizer.
 2. Distinct digests without a stored count are the misses.  Their contents
    leave the scan tasks once each (partial aggregation by digest, so a text that
    a third of all rows hold is one row a task) and are encoded once.
+   Where the tokenizer provably starts a token at every single space between two visible
+   characters (byte-level pattern, no normaliser), a text's count is the sum over its
+   pieces between such spaces, and a task encodes each distinct piece once.
 3. The new counts are appended to the cache, and all rows take theirs from it.
 
 The vocabulary travels as a broadcast of its bytes, whose size is checked:
@@ -25,7 +28,9 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable
 from importlib.metadata import version
 
@@ -41,6 +46,9 @@ LIBRARIES = {".json": "tokenizers", ".model": "sentencepiece"}
 MOST_BYTES = 256 << 20      # a vocabulary file that may be broadcast
 FEW_MISSES = 100_000        # digests (3.2 MB) that may be broadcast to thin out the texts
 COUNTS = "digest binary, n_tokens long"
+MOST_PIECES = 500_000       # counts of pieces that a process keeps
+#: A space between two characters that are neither blank nor of unknown kind.
+BETWEEN = re.compile(r" (?=[!-~\u00c0-\u024f])(?<=[!-~\u00c0-\u024f] )")
 _ENCODERS: dict[str, Callable[[list[str]], list[int]]] = {}
 
 
@@ -56,6 +64,34 @@ def tokenizer_digest(path: str, data: bytes) -> str:
     return hashlib.sha256(head.encode() + data).hexdigest()
 
 
+def parts_at_spaces(vocabulary: dict) -> bool:
+    """Whether a tokenizer's counts add up over pieces cut before single inner spaces: its pattern
+    takes a blank only at the start of a token and looks ahead only, nothing rewrites the
+    text, and no added token holds or swallows a blank."""
+    pattern = vocabulary.get("pre_tokenizer") or {}
+    return (vocabulary.get("normalizer") is None and vocabulary.get("post_processor") is None
+            and pattern.get("type") == "ByteLevel" and bool(pattern.get("use_regex")) and not pattern.get("add_prefix_space")
+            and all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])
+                    for t in vocabulary.get("added_tokens", [])))
+
+
+def by_pieces(count: Callable[[list[str]], list[int]]) -> Callable[[list[str]], list[int]]:
+    """Counts of texts as sums over their pieces; pieces met before are not encoded again."""
+    known: dict[str, int] = {}
+
+    def counts(texts: list[str]) -> list[int]:
+        if len(known) > MOST_PIECES:
+            known.clear()
+        cut = [BETWEEN.split(t) for t in texts]
+        starts = count([c[0] for c in cut])
+        rest = [c[1:] for c in cut]
+        new = list(set().union(*rest).difference(known))
+        known.update(zip(new, count([" " + p for p in new])))
+        return [s + sum(map(known.__getitem__, r)) for s, r in zip(starts, rest)]
+
+    return counts
+
+
 def encoder(name: str, kind: str, data: bytes) -> Callable[[list[str]], list[int]]:
     """Token counts of a list of texts, made once a process and tokenizer version."""
     if name not in _ENCODERS:
@@ -66,7 +102,11 @@ def encoder(name: str, kind: str, data: bytes) -> Callable[[list[str]], list[int
             tokenizer = Tokenizer.from_str(data.decode("utf-8"))
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            _ENCODERS[name] = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+            def whole(texts: list[str]) -> list[int]:
+                return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+            _ENCODERS[name] = by_pieces(whole) if parts_at_spaces(json.loads(data)) else whole
         else:
             from sentencepiece import SentencePieceProcessor
 

@@ -1,6 +1,8 @@
 """Token counts against the library itself; what the cache encodes and keeps."""
 
+import json
 import os
+import random
 
 import public_tokenizers
 import pytest
@@ -72,6 +74,31 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path, monkeypatch, few)
     assert max(r.n_tokens for r in other.collect()) < 100
 
 
+LETTERS = [" ", "  ", "a", "Ab", "'", "'s", "'ll", "<|endoftext|>", "<|", "é", "×", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "12", "½", "中",
+           "\u0301", "!", "\x1c", "\x00", "\U0001f600", "ɏ", "ɐ", "\u200b", "\ufeff"]
+
+
+def test_pieces_add_up():
+    """Sums over pieces equal the library's counts of whole texts, whatever blanks and special strings they hold."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    data = open(path, "rb").read()
+    assert tokens.parts_at_spaces(json.loads(data))
+    assert not tokens.parts_at_spaces(json.load(open(public_tokenizers.path("word_bpe_49k.json"))))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += [a + " " + b for a in LETTERS for b in LETTERS] + [a + b + " " + a for a in LETTERS for b in LETTERS]
+    count = tokens.encoder("t", ".json", data)
+    assert count(texts[:2000]) + count(texts[2000:]) == library_counts(texts, "byte_bpe_50k.json")
+
+
+def test_pieces_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 3)
+    asked = []
+    count = tokens.by_pieces(lambda texts: [asked.append(t) or len(t) for t in texts])
+    assert count(["one two two", "", "two"]) == [11, 0, 3] and asked.count(" two") == 1
+    assert count(["a b c d e"]) == count(["a b c d e"]) == [9]
+
+
 def test_version_digest_covers_every_byte():
     path = public_tokenizers.path("byte_bpe_50k.json")
     data = open(path, "rb").read()
