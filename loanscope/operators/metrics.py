@@ -5,11 +5,11 @@ All curve metrics first collapse the input to one row per *distinct* score
 by a third of all rows is one row before the exchange).  Prefix sums over the
 score order are computed without a single-partition window:
 
-1. approximate quantiles of the score cut the score axis into ranges of about
-   ``BUCKET_ROWS`` distinct scores each;
-2. per-bucket totals (one row per ``BUCKET_ROWS`` distinct scores) get their
+1. a range exchange on the score deals the distinct scores into partitions of about
+   ``BUCKET_ROWS`` each (Spark samples the bounds; nothing else reaches the driver);
+2. per-partition totals (one row per ``BUCKET_ROWS`` distinct scores) get their
    running offsets from a window over that small table and are joined back;
-3. inside each bucket a window partitioned by bucket adds the local prefix.
+3. inside each partition a window adds the local prefix.
 
 Integer counts stay exact (DECIMAL(38,0) for products), and each metric is one
 final division, so results do not depend on partitioning.
@@ -17,7 +17,6 @@ final division, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +35,6 @@ def score_histogram(sc: DataFrame, label: str = LABEL, score: str = SCORE) -> Da
                  F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("_neg")))
 
 
-def _cut_points(hist: DataFrame, buckets: int) -> list[float]:
-    """Approximate quantiles of the distinct scores: ranges with similar numbers
-    of distinct values, so every within-bucket window has similar work."""
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = hist.approxQuantile("_p", probs, 1.0 / (4 * buckets))
-    return sorted({float(q) for q in qs})
-
-
 #: Distinct scores that one within-bucket window should hold.
 BUCKET_ROWS = 50_000
 
@@ -57,7 +46,8 @@ def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: i
     Columns: _p, _pos, _neg, _pos_below, _neg_below (rows with a strictly
     smaller score), _tot_pos, _tot_neg (class totals).  With ``materialize``
     the histogram is checkpointed, so the scored input (often a model
-    transform) is computed exactly once for the quantiles, totals and ranks.
+    transform) is computed exactly once for its size, totals and ranks.  Dealt-out
+    ranges are always checkpointed: totals and ranks must see the same bounds.
     """
     hist = score_histogram(sc, label, score)
     if materialize:
@@ -65,9 +55,11 @@ def cumulative(sc: DataFrame, label: str = LABEL, score: str = SCORE, buckets: i
         hist = hist.checkpoint(eager=True)
     if buckets is None:  # follows the data: no window holds much more than BUCKET_ROWS rows
         buckets = hist.count() // BUCKET_ROWS + 1
-    cuts = _cut_points(hist, buckets)
-    splits = [float("-inf")] + (cuts or [0.5]) + [float("inf")]
-    hb = Bucketizer(splits=splits, inputCol="_p", outputCol="_bk", handleInvalid="keep").transform(hist)
+    if buckets > 1:
+        ensure_checkpoint_dir(sc.sparkSession)
+        hb = hist.repartitionByRange(buckets, "_p").withColumn("_bk", F.spark_partition_id()).checkpoint(eager=True)
+    else:
+        hb = hist.withColumn("_bk", F.lit(0))
     tot = hb.groupBy("_bk").agg(F.sum("_pos").alias("_bpos"), F.sum("_neg").alias("_bneg"))
     before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

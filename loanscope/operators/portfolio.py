@@ -199,6 +199,7 @@ def snapshot_trend(snapshots: DataFrame) -> DataFrame:
     ).filter(F.col("Month").isNotNull()).orderBy("Month"))
 
 
+# The columns of the correlation matrix.
 CORR_COLUMNS = ["LoanAmount", "InterestRate", "CreditScore", "YearsInBusiness", "AnnualRevenue"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.columns import as_double, credit_score_band, score_bin
 from loanscope.sources.fixtures import BASE_SCENARIO, SCENARIOS
 
-LGD = 0.6
+LGD = 0.6  # fixed value: loss given default
 
 
 def _el_sum(pd: str, exposure: str) -> Column:

@@ -510,8 +510,8 @@ def _k2t(spark, b):
 
 
 # ---- models (pyspark.ml) ---------------------------------------------------------------------------
-# Fitted models are cached per (session, input files) so the model-based entries
-# share one fit each; fits are seeded and laid out by key, so the same rows give
+# Fitted models are cached per session and state of the input files (name, size, time of
+# change), so the model-based entries share one fit each and new data is fitted anew; fits are seeded and laid out by key, so the same rows give
 # the same model whatever the partitions or cores.
 
 
@@ -523,8 +523,19 @@ SEARCH_FOLDS = 3
 _CACHE: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, b: LoanBook) -> tuple:
+    """(file, size, time of change) of every file behind the loan book."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    out = []
+    for f in sorted({f for df in b.tables().values() for f in df.inputFiles()}):
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def _cached(spark: SparkSession, b: LoanBook, name: str, build):
-    key = (spark.sparkContext.applicationId, id(spark), name, tuple(sorted(b.loans.inputFiles())))
+    key = (spark.sparkContext.applicationId, id(spark), name, _state(spark, b))
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loanscope.functions.columns import coerce_numeric, parse_date
 from loanscope.operators import quality as Q
 from loanscope.plans.catalog import register
+from loanscope.session import scratch_path
+from loanscope.sources import readers, schemas
 from loanscope.sources.dirty import DIRTY_SQL, dirty_book
 from loanscope.sources.fixtures import AS_OF, with_views
 
@@ -93,6 +95,46 @@ def _lenient(spark, b):
                       F.sum(F.col("day").isNull().cast("int")).cast("long").alias("BadDates"))
 
 
+#: Planted bad rows of each bulk-load file: table, schema, (column, condition, text instead).
+BAD_ROWS = {
+    "s1_rejects": ("Customers", schemas.CUSTOMERS, [("CreditScore", "CustomerID % 97 = 1", "high"), ("CustomerID", "CustomerID % 89 = 2", "")]),
+    "s2_rejects": ("Loans", schemas.LOANS, [("LoanAmount", "LoanID % 101 = 2", "n/a"), ("OriginationDate", "LoanID % 103 = 3", "31/12/1997"),
+                                            ("CustomerID", "LoanID % 107 = 4", "")]),
+    "s3_rejects": ("Repayments", schemas.REPAYMENTS, [("DaysLate", "LoanID % 109 = 5", "12.5"), ("PaymentAmount", "LoanID % 113 = 6", "1,000.00"),
+                                                      ("PaymentDate", "LoanID % 127 = 7", "")]),
+    "s4_rejects": ("Macroeconomics", schemas.MACRO, [("InflationRate", "InflationRate > 4", "4%")]),
+    "s5_rejects": ("LoanPerformanceSnapshots", schemas.SNAPSHOTS, [("SnapshotDate", "LoanID % 131 = 8", "today"),
+                                                                   ("OutstandingAmount", "LoanID % 137 = 9", "-")]),
+}
+
+
+def _rejects(table: str, schema, bad):
+    def run(spark, b):
+        """Loaded rows and rejects of a bulk-load file with planted bad rows, by reason."""
+        df = readers.as_table(b.tables()[table], schema)
+        for column, condition, text in bad:
+            df = df.withColumn(f"bad_{column}", F.coalesce(F.expr(condition), F.lit(False)))
+        lines = df.select(*[F.when(F.col(f"bad_{c}"), dict((n, t) for n, _, t in bad)[c]).otherwise(F.col(c).cast("string")).alias(c)
+                            if c in [n for n, *_ in bad] else F.col(c).cast("string").alias(c) for c in schema.names])
+        path = scratch_path(spark, f"bulk-{table}")
+        readers.write_csv_table(lines, path)
+        rows, rejects = readers.load_csv(spark, path, schema, max_errors=None)
+        return rows.agg(F.lit("loaded").alias("Outcome"), F.count(F.lit(1)).alias("N")).unionByName(
+            rejects.groupBy(F.col("Reason").alias("Outcome")).agg(F.count(F.lit(1)).alias("N")))
+    return run
+
+
+for _name, (_table, _schema, _bad) in BAD_ROWS.items():
+    register(_name)(_rejects(_table, _schema, _bad))
+
+
+def _rejects_sql(view: str, malformed: str, empty: list[tuple[str, str]]) -> str:
+    """Counts by outcome: a malformed row is that first; else the required columns that are empty."""
+    reason = " ".join(f"WHEN {c} THEN 'empty: {n}'" for n, c in empty)
+    return f"""SELECT Outcome, COUNT(*) AS N FROM (SELECT CASE WHEN {malformed} THEN 'malformed' {reason} ELSE 'loaded' END AS Outcome
+FROM {view}) o GROUP BY Outcome"""
+
+
 def _count(rule: str, view: str, broken: str) -> str:
     return f"SELECT '{rule}' AS Rule, CAST(COUNT(*) AS BIGINT) AS Violations FROM {view} WHERE {broken}"
 
@@ -109,6 +151,11 @@ _LOAN_BROKEN = [
     ("len(Status) <= 30", "length(Status) > 30"), ("len(RiskGradeAtOrigination) <= 10", "length(RiskGradeAtOrigination) > 10")]
 
 _SQL: dict[str, str] = {
+    "s1_rejects": _rejects_sql("v_customers", "CustomerID % 97 = 1", [("CustomerID", "CustomerID % 89 = 2")]),
+    "s2_rejects": _rejects_sql("v_loans", "LoanID % 101 = 2 OR LoanID % 103 = 3", [("CustomerID", "LoanID % 107 = 4")]),
+    "s3_rejects": _rejects_sql("v_repayments", "LoanID % 109 = 5 OR LoanID % 113 = 6", [("PaymentDate", "LoanID % 127 = 7")]),
+    "s4_rejects": _rejects_sql("v_macro", "InflationRate > 4", []),
+    "s5_rejects": _rejects_sql("v_snapshots", "LoanID % 131 = 8 OR LoanID % 137 = 9", []),
     "dq_customer_rules": _counts("v_dirty_customers", [
         ("YearsInBusiness >= 0", "YearsInBusiness < 0"), ("CreditScore BETWEEN 300 AND 900", "CreditScore < 300 OR CreditScore > 900"),
         ("CustomerID IS NOT NULL", "CustomerID IS NULL"), ("CustomerName IS NOT NULL", "CustomerName IS NULL"),

@@ -70,3 +70,28 @@ def test_stream_restart_does_not_recommit(spark, book, tmp_path):
     for stamp in ("2002-01-01 00:00:00", "2002-01-02 00:00:00"):  # the second start finds every file already committed in its checkpoint
         start_scoring_stream(spark, f"{src}/*", schema, fitted, root, 0.5, stamp, checkpoint=ckpt).awaitTermination()
     assert [str(r.ScoreDate)[:10] for r in U.read_current(spark, root).select("ScoreDate").distinct().collect()] == ["2002-01-01"]
+
+
+LOAN_HEADER = "LoanID,CustomerID,LoanAmount,InterestRate,TermMonths,OriginationDate,Status,RiskGradeAtOrigination\n"
+
+
+def test_rejects_keep_the_line_and_the_reason(spark, tmp_path):
+    path = tmp_path / "loans.csv"
+    path.write_text(LOAN_HEADER + "1,2,10.50,5.5,12,2001-01-01,Current,A\n" "2,2,abc,5.5,12,2001-01-01,Current,A\n"
+                    "3,,10,5.5,12,2001-01-01,Current,A\n" "4,2,10,5.5,12\n" "5,2,10,5.5,12,2001-01-01,Current,A,more\n"
+                    '6,2,"1,000",5.5,12,2001-01-01,"a ""quoted"" one",A\n' "7,2,,,,,,\n")
+    rows, rejects = readers.load_csv(spark, str(path), schemas.LOANS)
+    assert sorted(r.LoanID for r in rows.collect()) == [1, 7]
+    got = {r.Record.split(",")[0]: (r.Reason, r.Record) for r in rejects.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"2": "malformed", "3": "empty: CustomerID", "4": "malformed", "5": "malformed", "6": "malformed"}
+    assert got["2"][1] == "2,2,abc,5.5,12,2001-01-01,Current,A"
+    assert readers.load_csv(spark, str(path), schemas.LOANS, 5)[1].count() == 5
+    with pytest.raises(ValueError, match="5 rows rejected, more than 4"):
+        readers.load_csv(spark, str(path), schemas.LOANS, 4)
+
+
+def test_an_empty_file_has_no_rejects(spark, tmp_path):
+    path = tmp_path / "loans.csv"
+    path.write_text(LOAN_HEADER)
+    rows, rejects = readers.load_csv(spark, str(path), schemas.LOANS, 0)
+    assert rows.count() == rejects.count() == 0
