@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +28,14 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.001, 3
 GROUP = 64                # texts whose counts are held at once
 LONG = 1 << 20            # longer texts are counted by pieces of this many characters
 
-LETTER = re.compile(r"[^\W\d_]")
 _is_letter = np.empty(0, dtype=bool)
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter, not a numeral or a sign that words may hold."""
+    return isinstance(text, str) and any(map(str.isalpha, text))
+
+
 def letter_table() -> np.ndarray:
     """Which code points are letters; made once a process."""
     global _is_letter
@@ -121,7 +124,7 @@ def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict | None:
     def frequencies(batches):
         df, rows = np.zeros(BUCKETS, dtype=np.int64), 0
         for b in batches:
-            texts = [t for t in b["text"] if LETTER.search(t)]
+            texts = [t for t in b["text"] if has_letter(t)]
             for a in range(0, len(texts), GROUP):
                 df += (counts_of(texts[a:a + GROUP]) > 0).sum(0)
             rows += len(texts)
@@ -139,7 +142,7 @@ def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> dict | None:
         for b in batches:
             got = []
             for text, lang in zip(b["text"], b["lang"]):
-                if LETTER.search(text):
+                if has_letter(text):
                     c = counts_of([text])[0]
                     at = np.flatnonzero(c)
                     got.append((lang, at.astype(np.int32).tobytes(), c[at].tobytes()))
@@ -172,7 +175,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def predicted(batches):
         for b in batches:
             texts = list(b["text"])
-            real = [i for i, t in enumerate(texts) if isinstance(t, str) and LETTER.search(t)]
+            real = [i for i, t in enumerate(texts) if has_letter(t)]
             lang = np.full(len(texts), "und", dtype=object)
             score = np.full(len(texts), 1.0 if model else 0.0)
             for a in range(0, len(real) if model else 0, GROUP):
@@ -191,7 +194,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 ship(__name__)

@@ -76,3 +76,11 @@ def test_letters_of_supplementary_planes_are_scored_by_their_grams():
     grams = [set(L.gram_buckets(t).tolist()) - blank for t in (deseret, gothic)]
     assert min(map(len, grams)) > 50 and len(grams[0] & grams[1]) < 5
     assert set(L.gram_buckets("\U0001F600\U0010FFFF").tolist()) <= blank      # no letters
+
+
+def test_numerals_and_signs_are_no_letters(spark, odd_docs):
+    texts = ["½", "² ① 12", "_ \u0301 5", "Ⅷ", "a½", "中", "\U0001d4b3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = L.train(odd_docs)
+    got = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
