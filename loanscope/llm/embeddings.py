@@ -175,7 +175,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
                         "copies": b["copies"].to_numpy()[r], "embedding": b["embedding"].to_numpy()[r]})
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    leaves = single.select("part", "rep", "copies", "embedding").mapInPandas(
+    # Classes go by the hash of label and vector: an id may stand on several vectors.
+    leaves = single.select("part", F.col("k1").alias("rep"), "copies", "embedding").mapInPandas(
         index, "part string, leaf long, codes array<long>, low long, high long, chunk long, rep long, "
                f"copies long, embedding {kind}")
 
@@ -190,12 +191,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
 
     found = materialize(leaves.groupBy("part", "leaf", "low", "high").applyInPandas(
         within, "a long, b long, n long"), "links")
-    degree = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comp = components(found.where("a <> b"))
-    classes = single.select("k1", "k2", "rep", "copies").join(degree, "rep", "left").join(
-        comp.withColumnRenamed("node", "rep"), "rep", "left").select(
+    degree = found.where("a = b").groupBy(F.col("a").alias("k1")).agg(F.sum("n").alias("n"))
+    comp = components(found.where("a <> b")).withColumnRenamed("node", "k1")
+    least = comp.join(single.select("k1", "rep"), "k1").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = single.select("k1", "k2", "rep", "copies").join(degree, "k1", "left").join(
+        comp.join(least, "component"), "k1", "left").select(
         "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+        F.coalesce("least", "rep").alias("component_id"))
     return rows.select("vec_id", "k1", "k2").join(classes, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))

@@ -65,3 +65,10 @@ def test_edge_cases(spark):
     assert (by.loc[rest, "n_links"] == 0).all() and (by.loc[rest, "component_id"] == rest).all()
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert E.near_duplicates(none).count() == 0
+
+
+def test_an_id_on_several_vectors(spark):
+    """Links belong to vectors, not to ids."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (5, [0.01, 1.0], 2), (0, [0.0, -1.0], 1), (0, [0.01, 1.0], 1)]
+    got = sorted(tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([(1, 1, 1), (1, 1, 0), (2, 1, 1), (5, 0, 5), (0, 0, 0), (0, 1, 0)])
