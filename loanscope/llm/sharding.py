@@ -2,7 +2,9 @@
 
 Rows with equal text form one atomic group; groups are ordered by the SHA-256
 of their text.  The smallest shard capacity for which greedy filling needs at
-most ``shards`` shards is found by binary search, and the order is cut there.
+most ``shards`` shards is found by binary search.  Under that capacity a second search
+finds the largest least load, and the order is cut there: a group larger than the fair
+share fixes the capacity alone, and the shards beside it share what is left evenly.
 
 The driver never sees the groups.  It holds the byte totals of key-prefix
 cells (4096 at first) and brackets the capacity between two greedy checks:
@@ -13,8 +15,7 @@ atomic and never split, so a hot text costs one cell.
 
 Defined results: null text has size 8, a null checksum, and all null texts
 form one group; an empty table gives no rows; repeated rows get a slot each;
-extra columns are ignored.  A text larger than the fair share fixes the
-capacity alone, and later shards may then be short or empty.
+extra columns are ignored.  Shards are empty only where there are fewer groups.
 """
 
 from __future__ import annotations
@@ -43,6 +44,31 @@ def greedy_cuts(cum: np.ndarray, shards: int, capacity: int) -> list[int] | None
     return None
 
 
+def level_cuts(cum: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Cell boundaries that end the shards of a cut under ``capacity`` with the largest least
+    load; there must be one with at most ``shards`` shards."""
+    last = len(cum) - 1
+    shards = min(shards, last)
+
+    def reached(least: int) -> list[np.ndarray] | None:
+        """Boundaries at which 0, 1, ... shards of ``least`` to ``capacity`` can end."""
+        low, high = np.searchsorted(cum, cum - capacity), np.searchsorted(cum, cum - least, side="right")
+        steps = [np.arange(last + 1) == 0]
+        for _ in range(shards):
+            run = np.concatenate([[0], np.cumsum(steps[-1])])
+            steps.append(run[np.maximum(high, low)] > run[low])
+        return steps if steps[-1][last] else None
+
+    most = int(cum[-1]) // shards
+    least = most - smallest(lambda d: reached(most - d) is not None, 0, most - 1)
+    steps, cuts = reached(least), [last]
+    for k in range(shards - 1, 0, -1):
+        at = cum[cuts[-1]]
+        can = np.flatnonzero(steps[k] & (cum >= at - capacity) & (cum <= at - least))
+        cuts.append(int(can[np.abs(cum[can] - at * k / (k + 1)).argmin()]))
+    return cuts[::-1]
+
+
 def loose_cuts(cum: np.ndarray, atomic: np.ndarray, shards: int, capacity: int) -> list[int] | None:
     """Byte positions of the cuts if cells that are not atomic could be cut anywhere."""
     pos, cuts, total = 0, [], int(cum[-1])
@@ -86,7 +112,7 @@ def minimax_bounds(rows: DataFrame, shards: int) -> tuple[list[str], int]:
         high = smallest(lambda c: greedy_cuts(cum, shards, c) is not None, low, total)
         cuts = greedy_cuts(cum, shards, high)
         if low == high:
-            return [names[i] for i in cuts if i < len(names)], high
+            return [names[i] for i in level_cuts(cum, shards, high) if i < len(names)], high
         # Cells that a cut may fall into for some capacity in [low, high].
         wide = size > low // 64
         split = {names[i] for i in np.flatnonzero(wide & ~atomic)}

@@ -84,3 +84,42 @@ def test_edge_cases(odd_docs, no_docs):
 
 def test_reruns_agree(spark):
     assert as_rows(sharding.op1_sharding(spark, SF)) == as_rows(sharding.op1_sharding(spark, SF))
+
+
+def brute_least(sizes, shards, capacity):
+    """Largest least load of a contiguous cut into ``shards`` parts under ``capacity``."""
+    best = {0: float("inf")}
+    cum = np.concatenate([[0], np.cumsum(sizes)])
+    for _ in range(shards):
+        new = {}
+        for q, least in best.items():
+            for p in range(q + 1, len(cum)):
+                load = cum[p] - cum[q]
+                if load <= capacity:
+                    new[p] = max(new.get(p, -1), min(least, load))
+        best = new
+    return best[len(sizes)]
+
+
+def test_level_cuts_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = [rng.choice((1, 3, 8, 60)) for _ in range(rng.randrange(1, 14))]
+        shards = rng.randrange(1, 6)
+        cum = np.concatenate([[0], np.cumsum(sizes)])
+        capacity = brute_capacity(sizes, shards)
+        cuts = sharding.level_cuts(cum, shards, capacity)
+        loads = np.diff(np.concatenate([[0], cum[cuts]]))
+        assert len(cuts) == min(shards, len(sizes)) and loads.max() <= capacity
+        assert loads.min() == brute_least(sizes, min(shards, len(sizes)), capacity)
+
+
+def test_a_giant_group_leaves_the_others_level(spark):
+    """One text of a third of all bytes: its shard holds it, the others share the rest; only
+    what stands behind it in the order, here in the last shard, may be short."""
+    docs = [(i, f"document {i} " + "x" * (i % 50)) for i in range(6000)]
+    docs.append((9999, "g" * (sum(len(t) + 8 for _, t in docs) // 2)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    loads = sharding.shard_documents(df).groupBy("shard").sum("size").toPandas().set_index("shard")["sum(size)"]
+    rest = loads.drop(loads.idxmax())
+    assert len(loads) == 24 and sorted(rest)[1] > 0.8 * rest.mean()
