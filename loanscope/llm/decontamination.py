@@ -1,13 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-A benchmark item's windows are its 13 consecutive words (all words of a
-shorter item).  Each window is filed under its longest word, the anchor.  A
-document's words are looked up in the set of anchors inside one array
-expression, so only the few positions of anchors leave the row, each with the
-12 words on either side; they are joined to the windows filed under that word
-and compared word for word.  Anchors and windows are broadcast only while the
-benchmark has at most ``MAX_WINDOWS`` windows; beyond, every position is
-joined by a shuffle on the anchor instead, with the same results.
+A benchmark item's windows are its 13 consecutive words (all words of a shorter
+item).  Each distinct window is known by a 64-bit hash.  The token windows of a
+document, of the lengths that the benchmark has, leave their row one by one inside
+the scanning task and meet the broadcast set there; a hash hit is verified word for
+word at once, so only occurrences go on.  Nothing is shuffled but these.
+
+The set is broadcast in parts of at most ``PART_BYTES``, one pass over the documents
+each: a benchmark of any size takes the same plan.  Item ids, which have no bound,
+stay out of it and are joined to the hits.
 
 Defined results: null or empty text has no words and is clean; an empty
 benchmark hits nothing; equal (id, text) rows get equal results each; an item
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from loanscope.llm.common import LOWER, PLAIN_WORD, UPPER, ascii_lower, materialize, table
 
 WINDOW = 13
-MAX_WINDOWS = 100_000      # about 20 MB of windows; more are joined by a shuffle
+PART_BYTES = 64 << 20      # of windows that are broadcast at once
 MIN_PERCENT = 5            # a document is contaminated when 5 % of its words or more are hit
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -32,53 +33,52 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """anchor, off, win, items: each distinct window, its anchor word and that word's place."""
+    """g, win, k, items: each distinct window, its hash and its number of words."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     n = F.size("w")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))),
                          lambda i: F.slice("w", i, WINDOW))
     wins = items.where(n > 0).select("item", F.explode(starts).alias("win")).groupBy("win").agg(
         F.collect_set("item").alias("items"))
-    longest = F.array_max(F.transform("win", lambda w, i: F.struct(
-        F.length(w).alias("l"), w.alias("w"), i.alias("i"))))
-    return wins.withColumn("a", longest).select(
-        F.col("a.w").alias("anchor"), F.col("a.i").alias("off"), "win", "items")
+    return wins.select(F.xxhash64("win").alias("g"), "win", F.size("win").alias("k"), "items")
+
+
+def token_windows(words: Column, lengths: list[int]) -> Column:
+    """Array of (s, win): every run of ``lengths`` words and the place where it starts."""
+    none = F.array().cast("array<struct<s:int,win:array<string>>>")
+    runs = [F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(
+        i.alias("s"), F.slice(words, i + 1, k).alias("win")))).otherwise(none) for k in lengths]  # noqa: B023
+    return F.concat(*runs) if runs else none
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, h (hash of the text), n_words, hit (word
     positions inside a window's occurrence), items."""
     windows = materialize(benchmark_windows(benchmark), "decontamination-windows")
-    small = windows.count() <= max_windows
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
-    if small:
-        anchors = [r.anchor for r in windows.select("anchor").distinct().collect()]
-        windows = F.broadcast(windows)
-        at = F.transform("w", lambda w, i: F.when(w.isin(anchors), i))
-    else:
-        at = F.transform("w", lambda w, i: i)
-    around = lambda p: F.struct(
-        p.alias("p"), F.greatest(p - (WINDOW - 1), F.lit(0)).alias("base"),
-        F.element_at("w", p + 1).alias("anchor"),
-        F.slice("w", F.greatest(p - (WINDOW - 1), F.lit(0)) + 1, 2 * WINDOW - 1).alias("near"))
-    found = F.transform(F.filter("at", lambda p: p.isNotNull()), around)
-    rows = materialize(tokens.withColumn("at", at).select(
-        "doc_id", "h", F.size("w").cast("long").alias("n_words"), found.alias("found")), "decontamination-rows")
-    place = rows.select("doc_id", "h", F.explode("found").alias("f")).select("doc_id", "h", "f.*")
-    first = F.col("p") - F.col("base") - F.col("off")
-    same = F.when(first >= 0, F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("win")) == F.col("win"))
-    hits = place.join(windows, "anchor").where(same).select(
-        "doc_id", "h", "items", (F.col("p") - F.col("off")).alias("s"), F.size("win").alias("k"))
-    per_doc = hits.groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("s", "k")).alias("at"), F.collect_set("items").alias("items")).select(
-        F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(
-            "at", lambda o: F.sequence(o.s, o.s + o.k - 1))))).alias("hit"),
+    held = F.octet_length(F.array_join("win", " ")) + 16 * F.col("k") + 64
+    size, lengths = windows.agg(F.sum(held), F.collect_set("k")).first()
+    parts = int((size or 0) // part_bytes) + 1
+    key = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = key.select("doc_id", "h", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(PLAIN_WORD)), F.lit(0)).cast(
+        "long").alias("n_words"))
+    met = key.select("doc_id", "h", words_of(F.col("text")).alias("w")).select(
+        "doc_id", "h", F.explode(token_windows(F.col("w"), sorted(lengths))).alias("x")).select(
+        "doc_id", "h", "x.s", "x.win", F.xxhash64("x.win").alias("g"))
+    found = None
+    for part in range(parts):
+        known = windows.where(F.pmod("g", F.lit(parts)) == part).select("g", F.col("win").alias("known"), "k")
+        some = met.join(F.broadcast(known), "g").where("win = known").select("doc_id", "h", "s", "k", "g")
+        found = some if found is None else found.union(some)
+    hits = materialize(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "k")).alias("at"), F.collect_set("g").alias("g")),
+                       "decontamination-hits")
+    items = hits.select("doc_id", "h", F.explode("g").alias("g")).join(windows.select("g", "items"), "g").groupBy(
+        F.col("doc_id").alias("i_id"), F.col("h").alias("i_h")).agg(F.collect_set("items").alias("items"))
+    spots = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda o: F.sequence(o.s, o.s + o.k - 1)))))
+    per_doc = hits.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h"))).select(
+        F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), spots.alias("hit"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    none = F.array().cast("array<int>")
-    return rows.drop("found").join(
-        per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
-        "doc_id", "h", "n_words", F.coalesce("hit", none).alias("hit"),
+    return rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
+        "doc_id", "h", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -89,13 +89,15 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents (``remove="documents"``), or with
     the hit words cut out of every text (``remove="spans"``)."""
-    found = find_hits(docs, benchmark).where(F.size("hit") > 0)
+    tail = "_" * max(len(c) for c in docs.columns)      # no column of docs
+    found = find_hits(docs, benchmark).where(F.size("hit") > 0).select(
+        *[F.col(c).alias(c + tail) for c in ("doc_id", "h", "n_words", "hit")])
+    mine = docs["doc_id"].eqNullSafe(F.col(f"doc_id{tail}")) & (F.xxhash64(docs["text"]) == F.col(f"h{tail}"))
     if remove == "documents":
-        bad = found.where(is_contaminated(F.size("hit"), F.col("n_words"))).hint("merge")  # no bound: not broadcast
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
-    cut = found.groupBy("doc_id", "h").agg(F.first("hit").alias("hit"))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["doc_id"]) & (F.xxhash64(docs["text"]) == cut["h"]), "left")
-    text, hit = docs["text"], cut["hit"]
+        bad = found.where(is_contaminated(F.size(f"hit{tail}"), F.col(f"n_words{tail}"))).hint("merge")  # no bound: not broadcast
+        return docs.join(bad, mine, "left_anti")
+    joined = docs.join(found.groupBy(f"doc_id{tail}", f"h{tail}").agg(F.first(f"hit{tail}").alias(f"hit{tail}")), mine, "left")
+    text, hit = docs["text"], F.col(f"hit{tail}")
     own = F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
     kept = F.transform(F.split(text, ANY_CASE_WORD, -1), lambda gap, i: F.concat(gap, F.when(
         (i < F.size(own)) & ~F.array_contains(hit, i), F.get(own, i)).otherwise("")))

@@ -53,7 +53,7 @@ def small(spark):
 
 def test_shuffled_join_equals_broadcast(spark):
     docs, items = small(spark)
-    assert as_rows(D.find_hits(docs, items)) == as_rows(D.find_hits(docs, items, max_windows=0))
+    assert as_rows(D.find_hits(docs, items)) == as_rows(D.find_hits(docs, items, part_bytes=300))
 
 
 def test_removal(spark):
@@ -80,3 +80,25 @@ def test_edge_cases(spark, odd_docs, no_docs):
 def test_small_sf_sql(spark):
     got, want = against_sql(spark, "op2_decontamination", SMALL)
     assert got == want
+
+
+def test_large_benchmark_with_one_word_items(spark):
+    """200,000 windows and a one-word item take the same plan; little is written."""
+    import os
+
+    from loanscope.session import ensure_checkpoint_dir
+
+    items = spark.range(2_000).selectExpr("id AS item_id", "array_join(transform(sequence(1, 112), i -> concat('w', id, 'x', i)), ' ') AS text")
+    items = items.union(spark.createDataFrame([(9_999, "yes")], items.schema))
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat(repeat('plain words and yes ', 300), IF(id % 10 = 0, array_join(transform("
+                                       "sequence(20, 40), i -> concat('W', id, 'x', i)), ' '), ''), repeat(' more of the same', 200)) AS text")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs if "decontamination-hits" in d)
+    before = size()
+    got = {r.doc_id: r for r in D.find_hits(docs, items).collect()}
+    assert size() - before < 400 * 9_000
+    for i, r in got.items():
+        start = 1200
+        run = list(range(start, start + 21)) if i % 10 == 0 else []
+        assert r.items == (["9999"] if not run else sorted([str(i), "9999"]))
+        assert r.hit == sorted([4 * j + 3 for j in range(300)] + run)
