@@ -58,3 +58,39 @@ def test_edge_cases(odd_docs, no_docs):
     assert S.scan(no_docs, F.col("source"), F.col("lang")).count() == 0
     got = S.scan(odd_docs, F.col("source"), F.col("lang")).toPandas()
     assert len(got) == odd_docs.count() and (got.base.str.len() == 0).all()
+
+
+def test_repositories_enter_the_judgement(spark):
+    value = "Qw7" * 8
+    rows = [(i, f"key {value}", "one", f"r{i}") for i in range(5)] + [(9, "other " + "Er8" * 8, "one", "r1"), (10, "same " + "Er8" * 8, "two", "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in S.scan(docs, F.col("source"), F.col("repo")).collect()}
+    assert got[0].spans == [] and got[0].n_example == 1                   # one owner, but five repositories
+    assert [(x.owners, x.repositories) for x in got[9].spans] == [(2, 2)] and got[9].n_live == 1
+    few = {r.doc_id: r for r in S.scan(docs, F.col("source"), F.col("repo"), example_repositories=6).collect()}
+    assert [(x.owners, x.repositories) for x in few[0].spans] == [(1, 5)]
+
+
+def test_very_long_text_full_of_matches(spark):
+    """Work is linear in the matches: 20,000 of them, of several kinds and overlapping, take seconds."""
+    import time
+
+    text = " ".join(f"token=abcdef{i} Ab{i}Cd{'x' * 20}" + (" deadbeef" * 4 if i % 7 == 0 else "") + (f" {'a0' * 13}Z" if i % 5 == 0 else "")
+                    for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    begin = time.time()
+    r = S.scan(docs, F.col("source"), F.col("source")).first()
+    took = time.time() - begin
+    want = base(text)
+    assert [(x.kind, x.s, x.e) for x in r.base] == want
+    opaque = [(x.s, x.e) for x in r.spans if x.kind == "opaque"]
+    free = [m.span() for m in re.finditer(S.OPAQUE, text) if all(re.search(p, m[0]) for p in S.OPAQUE_NEEDS)]
+    starts = sorted((s, e) for _, s, e in want)
+    import bisect
+    firsts = [s for s, _ in starts]
+    reach = [max(e for _, e in starts[max(0, i - 3):i + 1]) for i in range(len(starts))]
+    def met(s, e):
+        i = bisect.bisect_left(firsts, e) - 1
+        return i >= 0 and reach[i] > s
+    assert opaque == [x for x in free if not met(*x)] and len(opaque) > 10_000
+    assert took < 30
