@@ -7,7 +7,8 @@ Documents link when ``100 * |A & B| >= 85 * |A | B|`` over their distinct
 2. Candidates: linked sets differ in at most ``D`` shingles, a bound by size.
    The hash range is cut into about ``1.25 D`` parts, so the parts that a set
    fills, less ``D``, are equal in both.  Sets meet under the hashes of their
-   parts, inside a task first, then across tasks; a set that shares fewer parts
+   parts, inside a task first, then across tasks (a group hands on one partial row a
+   set, so a set has as many as it has parts, however large the table); a set that shares fewer parts
    with any others than it must is linked with nothing and leaves.
 3. The sets that stay meet once more, and a part's sets are tied to its
    smallest.  Components of the ties, each size class by itself, are the join's
@@ -40,6 +41,7 @@ WORDS = 4
 PERCENT = 85
 BLOCK = 2_000           # sets of a work unit in one task, or in either block of it
 TASK_KEYS = 1_000_000   # part hashes that meet in one group
+BUCKETS = 64            # fewest groups: a set's keys spread alike at every size of the table
 RANGE_BITS = 8          # 256 ranges of the global order
 FLUSH_KEYS = 1_000_000  # part hashes a scanning task holds before it sends them
 
@@ -256,7 +258,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             yield mark, np.frombuffer(s, dtype=np.uint64), set(nodes)
 
     def buckets(frame):
-        return int((frame.agg(F.sum("n")).first()[0] or 0) * 0.4 // TASK_KEYS) + 1
+        return max(BUCKETS, int((frame.agg(F.sum("n")).first()[0] or 0) * 0.4 // TASK_KEYS) + 1)
 
     shared = meeting(docs.select("text"), of_texts, percent, buckets(prof), 2).groupBy("a").agg(F.sum("b").alias("shared"))
     standing = classes.select("rep", "s1", "n", F.inline(F.arrays_zip("nodes", "needs")))
