@@ -84,8 +84,8 @@ def _prepared(features: list[str], nullable: list[str]) -> tuple[list, list[str]
 
 
 #: Rows of one partition of a training frame, and partitions of a small one.
-TRAIN_ROWS = 200_000
-TRAIN_PARTITIONS = 16
+TRAIN_ROWS = 50_000
+TRAIN_PARTITIONS = 4
 
 
 def train_partitions(rows: int) -> int:

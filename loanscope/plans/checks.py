@@ -154,9 +154,9 @@ def _x4(spark, b):
     one = REGISTRY_RAW["x4_dependence"](spark, b)
     lo, hi = one.agg(F.min("Value"), F.max("Value")).first()
     place = F.least(F.floor((F.col("Value") - lo) / ((hi - lo) / C.DEPENDENCE_BINS)), F.lit(C.DEPENDENCE_BINS - 1)).cast("int")
-    own = one.groupBy(place.alias("Bin")).agg(F.avg("Phi").alias("own"), F.count(F.lit(1)).alias("n"))
-    return bins.join(own, "Bin", "full").agg(F.sum("n").cast("long").alias("Loans"), F.sum((~(
-        (F.abs(F.col("Phi") - F.col("own")) <= 1e-9) & (F.col("N") == F.col("n")))).cast("int")).cast("long").alias("Violations"))
+    own = one.groupBy(place.alias("Bin")).agg(F.avg("Phi").alias("own"), F.count(F.lit(1)).alias("OwnN"))
+    return bins.join(own, "Bin", "full").agg(F.sum("OwnN").cast("long").alias("Loans"), F.sum((~(
+        (F.abs(F.col("Phi") - F.col("own")) <= 1e-9) & (F.col("N") == F.col("OwnN")))).cast("int")).cast("long").alias("Violations"))
 
 
 @register("chk_r6_model_scenarios")
