@@ -100,7 +100,7 @@ BAD_ROWS = {
     "s1_rejects": ("Customers", schemas.CUSTOMERS, [("CreditScore", "CustomerID % 97 = 1", "high"), ("CustomerID", "CustomerID % 89 = 2", "")]),
     "s2_rejects": ("Loans", schemas.LOANS, [("LoanAmount", "LoanID % 101 = 2", "n/a"), ("OriginationDate", "LoanID % 103 = 3", "31/12/1997"),
                                             ("CustomerID", "LoanID % 107 = 4", "")]),
-    "s3_rejects": ("Repayments", schemas.REPAYMENTS, [("DaysLate", "LoanID % 109 = 5", "12.5"), ("PaymentAmount", "LoanID % 113 = 6", "1,000.00"),
+    "s3_rejects": ("Repayments", schemas.REPAYMENTS, [("DaysLate", "LoanID % 109 = 5", "12.5"), ("PaymentAmount", "LoanID % 113 = 6", "12.5.0"),
                                                       ("PaymentDate", "LoanID % 127 = 7", "")]),
     "s4_rejects": ("Macroeconomics", schemas.MACRO, [("InflationRate", "InflationRate > 4", "4%")]),
     "s5_rejects": ("LoanPerformanceSnapshots", schemas.SNAPSHOTS, [("SnapshotDate", "LoanID % 131 = 8", "today"),

@@ -81,13 +81,13 @@ def test_rejects_keep_the_line_and_the_reason(spark, tmp_path):
                     "3,,10,5.5,12,2001-01-01,Current,A\n" "4,2,10,5.5,12\n" "5,2,10,5.5,12,2001-01-01,Current,A,more\n"
                     '6,2,"1,000",5.5,12,2001-01-01,"a ""quoted"" one",A\n' "7,2,,,,,,\n")
     rows, rejects = readers.load_csv(spark, str(path), schemas.LOANS)
-    assert sorted(r.LoanID for r in rows.collect()) == [1, 7]
+    assert sorted(r.LoanID for r in rows.collect()) == [1, 6, 7]     # "1,000" is a number
     got = {r.Record.split(",")[0]: (r.Reason, r.Record) for r in rejects.collect()}
-    assert {k: v[0] for k, v in got.items()} == {"2": "malformed", "3": "empty: CustomerID", "4": "malformed", "5": "malformed", "6": "malformed"}
+    assert {k: v[0] for k, v in got.items()} == {"2": "malformed", "3": "empty: CustomerID", "4": "malformed", "5": "malformed"}
     assert got["2"][1] == "2,2,abc,5.5,12,2001-01-01,Current,A"
-    assert readers.load_csv(spark, str(path), schemas.LOANS, 5)[1].count() == 5
-    with pytest.raises(ValueError, match="5 rows rejected, more than 4"):
-        readers.load_csv(spark, str(path), schemas.LOANS, 4)
+    assert readers.load_csv(spark, str(path), schemas.LOANS, 4)[1].count() == 4
+    with pytest.raises(ValueError, match="4 rows rejected, more than 3"):
+        readers.load_csv(spark, str(path), schemas.LOANS, 3)
 
 
 def test_an_empty_file_has_no_rejects(spark, tmp_path):
