@@ -131,14 +131,22 @@ NUMERIC_FEATURES = [
 LEAKY_FEATURES = ["OutstandingAmount", "PastDueDays", "CumulativePayments", "RemainingRatio"]
 
 
+#: Levels that a categorical column may have; each becomes a feature.
+MAX_LEVELS = 1_000
+
+
 def fit_levels(df: DataFrame, cols: list[str] = CATEGORICAL) -> dict[str, list[str]]:
     """Sorted distinct levels per categorical column (the band in its own order).
 
-    One distributed aggregate (``collect_set`` per column, partial on the map
-    side); the result is the categorical vocabulary, bounded by the domain.
+    One distributed distinct over (column, level), of which no more than the allowed
+    number of rows ever reaches the driver; a column with more levels is an error.
     """
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
-    levels = {c: list(row[c] or []) for c in cols}
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("level")) for c in cols])
+    found = df.select(F.inline(cells)).where("level IS NOT NULL").distinct().limit(MAX_LEVELS * len(cols) + 1).collect()
+    levels = {c: sorted((r.level for r in found if r.c == c), key=lambda x: x.encode()) for c in cols}
+    wide = {c: len(v) for c, v in levels.items() if len(v) > MAX_LEVELS}
+    if wide:
+        raise ValueError(f"columns with more than {MAX_LEVELS} levels cannot be one-hot encoded: {wide}")
     if "CreditScoreBand" in levels:
         levels["CreditScoreBand"] = list(BAND_ORDER)  # ordered category: absent bands keep their column
     return levels

@@ -343,3 +343,11 @@ def test_knn_pairs_a_point_stay_flat(spark):
             assert np.allclose(got.Distance.to_numpy(), d)
         per.append(stats["pairs"] / n)
     assert per[1] < 2 * per[0] and per[0] < 2 * per[1], per
+
+
+def test_one_hot_refuses_columns_without_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i % 7), "a") for i in range(50)] + [(None, "b")], "x string, y string")
+    assert FT.fit_levels(df, ["x", "y"]) == {"x": [str(i) for i in range(7)], "y": ["a", "b"]}
+    monkeypatch.setattr(FT, "MAX_LEVELS", 6)
+    with pytest.raises(ValueError, match="x"):
+        FT.fit_levels(df, ["x", "y"])
