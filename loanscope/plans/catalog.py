@@ -75,7 +75,7 @@ def split(b: LoanBook) -> DataFrame:
 
 def label_split(b: LoanBook) -> DataFrame:
     """LoanID, DefaultFlag, IsTest of the same split."""
-    return S.stratified_split(labels(b), "DefaultFlag", "LoanID", 0.2, 42)
+    return S.stratified_split(labels(b).checkpoint(eager=True), "DefaultFlag", "LoanID", 0.2, 42)  # read by cuts and rows
 
 
 def scored_base(b: LoanBook) -> DataFrame:
