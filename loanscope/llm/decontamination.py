@@ -1,12 +1,13 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 A benchmark item's windows are its 13 consecutive words (all words of a shorter
-item).  Each distinct window is known by a 64-bit hash.  The token windows of a
-document, of the lengths that the benchmark has, leave their row one by one inside
-the scanning task and meet the broadcast set there; a hash hit is verified word for
-word at once, so only occurrences go on.  Nothing is shuffled but these.
+item).  Each window is filed under its longest word, the anchor.  The words of a
+document meet the broadcast windows by their anchors' hashes inside the scanning
+task, and the words around a met anchor are compared with the window at once, in one
+generated loop: a text's word array is not copied, and only occurrences go on.
+Nothing is shuffled but these.
 
-The set is broadcast in parts of at most ``PART_BYTES``, one pass over the documents
+The windows are broadcast in parts of at most ``PART_BYTES``, one pass over the documents
 each: a benchmark of any size takes the same plan.  Item ids, which have no bound,
 stay out of it and are joined to the hits.
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from loanscope.llm.common import LOWER, PLAIN_WORD, UPPER, ascii_lower, materialize, table
 
 WINDOW = 13
+MARK = "\x00"               # no word holds it
 PART_BYTES = 64 << 20      # of windows that are broadcast at once
 MIN_PERCENT = 5            # a document is contaminated when 5 % of its words or more are hit
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,22 +35,19 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """g, win, k, items: each distinct window, its hash and its number of words."""
+    """g, win, k, items, a, off: each distinct window, its hash and number of words, the hash of its
+    anchor and that word's place."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     n = F.size("w")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))),
                          lambda i: F.slice("w", i, WINDOW))
     wins = items.where(n > 0).select("item", F.explode(starts).alias("win")).groupBy("win").agg(
         F.collect_set("item").alias("items"))
-    return wins.select(F.xxhash64("win").alias("g"), "win", F.size("win").alias("k"), "items")
-
-
-def token_windows(words: Column, lengths: list[int]) -> Column:
-    """Array of (s, win): every run of ``lengths`` words and the place where it starts."""
-    none = F.array().cast("array<struct<s:int,win:array<string>>>")
-    runs = [F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(
-        i.alias("s"), F.slice(words, i + 1, k).alias("win")))).otherwise(none) for k in lengths]  # noqa: B023
-    return F.concat(*runs) if runs else none
+    longest = F.array_max(F.transform("win", lambda w, i: F.struct(
+        F.length(w).alias("l"), w.alias("w"), i.alias("i"))))
+    return wins.withColumn("top", longest).select(
+        F.xxhash64("win").alias("g"), "win", F.size("win").alias("k"), "items", F.xxhash64("top.w").alias("a"),
+        F.col("top.i").alias("off"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -56,30 +55,36 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTE
     positions inside a window's occurrence), items."""
     windows = materialize(benchmark_windows(benchmark), "decontamination-windows")
     held = F.octet_length(F.array_join("win", " ")) + 16 * F.col("k") + 64
-    size, lengths = windows.agg(F.sum(held), F.collect_set("k")).first()
-    parts = int((size or 0) // part_bytes) + 1
-    key = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = key.select("doc_id", "h", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(PLAIN_WORD)), F.lit(0)).cast(
-        "long").alias("n_words"))
-    met = key.select("doc_id", "h", words_of(F.col("text")).alias("w")).select(
-        "doc_id", "h", F.explode(token_windows(F.col("w"), sorted(lengths))).alias("x")).select(
-        "doc_id", "h", "x.s", "x.win", F.xxhash64("x.win").alias("g"))
+    parts = int((windows.agg(F.sum(held)).first()[0] or 0) // part_bytes) + 1
+    # A mark behind the last word meets a window of no words: each row of docs sends one such
+    # hit, whose place is its number of words, so the texts are split into words once.
+    words = F.concat(words_of(F.col("text")), F.array(F.lit(MARK)))
+    met = docs.select("doc_id", F.xxhash64("text").alias("h"), words.alias("w")).select(
+        "doc_id", "h", "w", F.posexplode_outer("w").alias("p", "word"))
+    mark = windows.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("g"), F.array().cast("array<string>").alias("win"), F.lit(0).alias("k"),
+        F.xxhash64(F.lit(MARK)).alias("a"), F.lit(0).alias("off"))
+    first = F.col("p") - F.col("off")
+    same = F.when(first >= 0, F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("k")) == F.col("win"))
     found = None
     for part in range(parts):
-        known = windows.where(F.pmod("g", F.lit(parts)) == part).select("g", F.col("win").alias("known"), "k")
-        some = met.join(F.broadcast(known), "g").where("win = known").select("doc_id", "h", "s", "k", "g")
+        known = windows.where(F.pmod("g", F.lit(parts)) == part).select("g", "win", "k", "a", "off")
+        known = known if part else known.union(mark)
+        some = met.join(F.broadcast(known), F.xxhash64("word") == F.col("a")).where(same).select(
+            "doc_id", "h", first.alias("s"), "k", "g")
         found = some if found is None else found.union(some)
-    hits = materialize(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "k")).alias("at"), F.collect_set("g").alias("g")),
-                       "decontamination-hits")
+    hit, end = F.col("k") > 0, F.col("k") == 0
+    hits = materialize(found.groupBy("doc_id", "h").agg(
+        F.max(F.when(end, F.col("s"))).cast("long").alias("n_words"), F.count(F.when(end, 1)).alias("rows"),
+        F.collect_set(F.when(hit, F.struct("s", "k"))).alias("at"), F.collect_set(F.when(hit, F.col("g"))).alias("g")),
+        "decontamination-hits")
     items = hits.select("doc_id", "h", F.explode("g").alias("g")).join(windows.select("g", "items"), "g").groupBy(
         F.col("doc_id").alias("i_id"), F.col("h").alias("i_h")).agg(F.collect_set("items").alias("items"))
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda o: F.sequence(o.s, o.s + o.k - 1)))))
-    per_doc = hits.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h"))).select(
-        F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), spots.alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    return rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
-        "doc_id", "h", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return hits.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h")), "left").select(
+        "doc_id", "h", "n_words", spots.alias("hit"),
+        F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.array().cast("array<string>")).alias("items"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("col")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
