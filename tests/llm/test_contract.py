@@ -20,7 +20,7 @@ SCRIPT = textwrap.dedent(f"""
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries
     for n in names:
         rows = queries[n](spark, "/root/testdata/sf0.001").count()
-        assert rows >= {{"op5_passages": 0, "op11_negatives": 20}}.get(n, 200), (n, rows)
+        assert rows >= {{"op5_passages": 0, "op11_negatives": 100, "op13_prefixes": 30}}.get(n, 200), (n, rows)
     print("CONTRACT-OK")
 """)
 
