@@ -63,6 +63,29 @@ def test_tree_shap_equals_brute_force_shapley():
             assert np.allclose(phi[r, :4], _brute(t, X_[r], 4), atol=1e-12)
 
 
+@pytest.mark.parametrize("depth", [0, 1, 6, 9])
+def test_tables_equal_the_recursion_over_leaves(depth):
+    """Looked-up credits equal those of the recursion, in fewer lookups than leaves and features; leaves of more sides
+    than a table has are credited without one."""
+    rng = np.random.default_rng(depth)
+    trees, x, z = [_rand_tree(rng, 31, depth) for _ in range(4)], rng.random((40, 31)), rng.random((30, 31))
+    x[3, :9] = np.nan
+    want = np.zeros((40, 32))
+    for t in trees:
+        X._tree_shap_batch(t, x, want)
+    forest, against = X.Forest(trees), X.Background(trees, z)
+    assert np.allclose(forest.values(x), want[:, :-1] / 4, atol=1e-12)
+    got = against.values(x)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(X, "TABLE_BITS", 0)
+        assert np.allclose(got, X.Background(trees, z).values(x), atol=1e-12)
+    if depth == 6:
+        for i, t in enumerate(trees):
+            assert not forest.table(i).deep
+            looked_up, leaves = sum(len(c[3]) for c in forest.table(i).chunks), int((t["feature"] < 0).sum())
+            assert looked_up < 2.5 * leaves
+
+
 @pytest.fixture(scope="module")
 def fitted(spark, book):
     return C.training_frame(spark, book), C.logistic(spark, book), C.forest(spark, book)
