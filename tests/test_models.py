@@ -347,3 +347,39 @@ def test_gradient_is_flat_at_the_fit_and_not_beside_it(spark, fitted, book):
     assert worst < 1e-4
     wrong = M.Fitted(lr.model, lr.features, lr.name, {f: (m, s * 1.2) for f, (m, s) in lr.scale.items()})
     assert M.logistic_gradient(wrong, train).agg(F.max(F.abs("Gradient"))).first()[0] > 1e-3
+
+
+# ---- what a fit carries -----------------------------------------------------------------------------
+
+def test_fits_carry_only_the_columns_that_they_read(spark):
+    df = _tiny_book(spark).withColumn("Comment", F.repeat(F.lit("x"), 500)).withColumn("weight", F.lit(1.0))
+    assert M.training_rows(df, ["a", "b"], "weight", None).columns == ["LoanID", "a", "b", "label", "weight"]
+    asked = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(M, "laid_out", lambda d, *a, _real=M.laid_out, **k: asked.append(d.columns) or _real(d, *a, **k))
+        M.train_forest(df, ["a", "b"], num_trees=2, max_depth=2)
+        M.train_logistic(df, ["a", "b"], max_iter=2)
+    assert asked == [["LoanID", "a", "b", "label", "weight"]] * 2
+
+
+def test_shallow_forests_keep_no_node_ids_and_are_the_same(spark):
+    assert not M._forest(spark, None, 1, numTrees=200, maxDepth=6).getCacheNodeIds()
+    assert M._forest(spark, None, 1, numTrees=200, maxDepth=30).getCacheNodeIds()
+    df, got = _tiny_book(spark), []
+    for shallow in (0, 30):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(M, "SHALLOW", shallow)
+            fitted = M.train_forest(df, ["a", "b"], weight=None, num_trees=8, max_depth=6)
+        got.append({r.LoanID: r.PredProb for r in M.score(fitted, df, None).collect()})
+    assert got[0] == got[1]
+
+
+def test_feature_table_is_built_once_for_split_and_features(spark, book, monkeypatch):
+    """The split's labels come from the written table; the snapshots are not computed again for them."""
+    monkeypatch.setattr(C, "_CACHE", {})
+    monkeypatch.setattr(C, "labels", lambda b: pytest.fail("labels are computed a second time"))
+    enc, feats = C.training_frame(spark, book)
+    assert enc.count() == book.loans.count() and len(feats) == 31
+    monkeypatch.undo()
+    want = {(r.LoanID, r.IsTest) for r in C.label_split(book).collect()}
+    assert {(r.LoanID, r.IsTest) for r in enc.select("LoanID", "IsTest").collect()} == want
