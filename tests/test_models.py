@@ -352,14 +352,15 @@ def test_gradient_is_flat_at_the_fit_and_not_beside_it(spark, fitted, book):
 # ---- what a fit carries -----------------------------------------------------------------------------
 
 def test_fits_carry_only_the_columns_that_they_read(spark):
-    df = _tiny_book(spark).withColumn("Comment", F.repeat(F.lit("x"), 500)).withColumn("weight", F.lit(1.0))
-    assert M.training_rows(df, ["a", "b"], "weight", None).columns == ["LoanID", "a", "b", "label", "weight"]
+    feats = ["LoanAmount", "b"]
+    df = _tiny_book(spark).withColumnRenamed("a", "LoanAmount").withColumn("Comment", F.repeat(F.lit("x"), 500)).withColumn("weight", F.lit(1.0))
+    assert M.training_rows(df, feats, "weight", None).columns == ["LoanID", *feats, "label", "weight"]
     asked = []
     with pytest.MonkeyPatch.context() as m:
         m.setattr(M, "laid_out", lambda d, *a, _real=M.laid_out, **k: asked.append(d.columns) or _real(d, *a, **k))
-        M.train_forest(df, ["a", "b"], num_trees=2, max_depth=2)
-        M.train_logistic(df, ["a", "b"], max_iter=2)
-    assert asked == [["LoanID", "a", "b", "label", "weight"]] * 2
+        M.train_forest(df, feats, num_trees=2, max_depth=2)
+        M.train_logistic(df, feats, max_iter=2)
+    assert asked == [["LoanID", *feats, "label", "weight"]] * 2
 
 
 def test_shallow_forests_keep_no_node_ids_and_are_the_same(spark):
@@ -374,12 +375,14 @@ def test_shallow_forests_keep_no_node_ids_and_are_the_same(spark):
     assert got[0] == got[1]
 
 
-def test_feature_table_is_built_once_for_split_and_features(spark, book, monkeypatch):
-    """The split's labels come from the written table; the snapshots are not computed again for them."""
+def test_feature_table_is_written_once_for_all_fits(spark, book, monkeypatch):
+    """One Parquet table stands behind the fits; the logistic fit on all features reads the same."""
     monkeypatch.setattr(C, "_CACHE", {})
-    monkeypatch.setattr(C, "labels", lambda b: pytest.fail("labels are computed a second time"))
+    built = []
+    monkeypatch.setattr(C, "written", lambda df, name, _real=C.written: built.append(name) or _real(df, name))
     enc, feats = C.training_frame(spark, book)
-    assert enc.count() == book.loans.count() and len(feats) == 31
-    monkeypatch.undo()
-    want = {(r.LoanID, r.IsTest) for r in C.label_split(book).collect()}
-    assert {(r.LoanID, r.IsTest) for r in enc.select("LoanID", "IsTest").collect()} == want
+    monkeypatch.setattr(M, "train_logistic", lambda train, features, **k: M.Fitted(None, features, "all"))
+    monkeypatch.setattr(M, "score", lambda fitted, df, *a, **k: df.select(*fitted.features))
+    every = C.REGISTRY_RAW["m4_all_features_scores"](spark, book)
+    assert built == ["features"] and len(feats) == 31 and len(every.columns) == 35
+    assert all("/features-" in f for f in enc.inputFiles())
