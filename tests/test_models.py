@@ -386,3 +386,18 @@ def test_feature_table_is_written_once_for_all_fits(spark, book, monkeypatch):
     every = C.REGISTRY_RAW["m4_all_features_scores"](spark, book)
     assert built == ["features"] and len(feats) == 31 and len(every.columns) == 35
     assert all("/features-" in f for f in enc.inputFiles())
+
+
+def test_attributions_broadcast_plain_arrays(spark, monkeypatch):
+    """Executors have numpy, not this package: no class of it may travel in a broadcast."""
+    import pickletools
+
+    df, fitted = _deep_forest(spark)
+    sent = []
+    monkeypatch.setattr(X, "explained", lambda data, feats, key, value: sent.append(value.value) or data)
+    X.tree_shap_rows(fitted, df)
+    X.background_shap(fitted, df, df.limit(20))
+    import pickle
+    for value in sent:
+        names = {str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(value)) if isinstance(arg, str)}
+        assert not any("loanscope" in n for n in names)
