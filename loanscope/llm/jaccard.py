@@ -43,7 +43,7 @@ BLOCK = 2_000           # sets of a work unit in one task, or in either block of
 TASK_KEYS = 1_000_000   # part hashes that meet in one group
 BUCKETS = 64            # fewest groups: a set's keys spread alike at every size of the table
 RANGE_BITS = 8          # 256 ranges of the global order
-FLUSH_KEYS = 1_000_000  # part hashes a scanning task holds before it sends them
+FLUSH_KEYS = 400_000    # part hashes a scanning task holds before it sends them
 
 
 def most_apart(size: int, percent: int) -> int:
@@ -117,19 +117,26 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)) for x in (a, b))
 
 
-def star(keys: np.ndarray, sets: np.ndarray):
-    """(keys once each, smallest set of each), (distinct ties smallest - other), and
-    (sets, number of keys that they share with other sets)."""
+def star(keys: np.ndarray, sets: np.ndarray, what: int):
+    """(keys once each, smallest set of each), and for ``what`` = 1 the distinct ties smallest -
+    other, for 2 (sets, number of keys that they share with other sets)."""
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
     if not len(keys):
-        return (keys, sets), (sets, sets), (sets, sets)
+        return (keys, sets), (sets, sets)
     head = np.concatenate([[True], keys[1:] != keys[:-1]])
     group, first = np.cumsum(head) - 1, np.flatnonzero(head)
-    low, high = sets[first], sets[np.append(first[1:], len(keys)) - 1]
-    tie = np.unique(np.column_stack([low[group], sets])[low[group] != sets], axis=0).reshape(-1, 2)
-    shared = np.unique(sets[(low != high)[group]], return_counts=True)
-    return (keys[head], low), (tie[:, 0], tie[:, 1]), shared
+    low = sets[first]
+    if what == 2:
+        high = sets[np.append(first[1:], len(keys)) - 1]
+        return (keys[head], low), np.unique(sets[(low != high)[group]], return_counts=True)
+    a, b = low[group], sets
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return (keys[head], low), (a[new], b[new])
 
 
 def meeting(sets: DataFrame, read, percent: int, buckets: int, what: int) -> DataFrame:
@@ -140,15 +147,15 @@ def meeting(sets: DataFrame, read, percent: int, buckets: int, what: int) -> Dat
         parts, keys, owners, held, seen = Parts(percent), [], [], 0, set()
 
         def sent():
-            result = star(np.concatenate(keys), np.concatenate(owners))
-            for part in (0, what):
-                first, second = result[part]
-                to = mix(first.astype(np.uint64)) % np.uint64(buckets)
+            for done, (first, second) in enumerate(star(np.concatenate(keys), np.concatenate(owners), what)):
+                to = (mix(first.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                for cut in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    if len(cut):
-                        yield pd.DataFrame({"bucket": [int(to[cut[0]])], "done": [part > 0], "a": [
-                            first[cut].tobytes()], "b": [second[cut].tobytes()]})
+                to, first, second = to[order], first[order], second[order]
+                begin = np.flatnonzero(np.diff(to, prepend=-1))
+                ends = list(zip(begin, np.append(begin[1:], len(to))))
+                if ends:
+                    yield pd.DataFrame({"bucket": to[begin], "done": done > 0, "a": [
+                        first[i:j].tobytes() for i, j in ends], "b": [second[i:j].tobytes() for i, j in ends]})
 
         for batch in batches:
             for mark, s, only in read(batch):
@@ -169,7 +176,7 @@ def meeting(sets: DataFrame, read, percent: int, buckets: int, what: int) -> Dat
     def meet(b):
         k, o, a, c = (np.frombuffer(b"".join(b.loc[b["done"] == d, x]), dtype=np.int64)
                       for d in (False, True) for x in ("a", "b"))
-        found = star(k, o)[what]
+        found = star(k, o, what)[1]
         return pd.DataFrame({"a": np.concatenate([found[0], a]), "b": np.concatenate([found[1], c])})
 
     return sets.mapInPandas(send, "bucket int, done boolean, a binary, b binary").groupBy("bucket").applyInPandas(
