@@ -388,6 +388,24 @@ def test_feature_table_is_written_once_for_all_fits(spark, book, monkeypatch):
     assert all("/features-" in f for f in enc.inputFiles())
 
 
+def test_training_frame_derives_the_snapshots_once_and_splits_by_loans(spark, book, monkeypatch):
+    """Labels and feature table share one pass over the repayments; customers that come twice
+    repeat rows of the table and leave the split of the loans as it is."""
+    import dataclasses
+
+    from loanscope.operators import features as FT
+
+    want = {r.LoanID: r.IsTest for r in C.label_split(book).collect()}
+    monkeypatch.setattr(C, "_CACHE", {})
+    passes = []
+    monkeypatch.setattr(FT, "latest_snapshot", lambda s, _real=FT.latest_snapshot: passes.append(1) or _real(s))
+    twice = book.customers.unionAll(book.customers.where("CustomerID % 3 = 0"))
+    enc, _ = C.training_frame(spark, dataclasses.replace(book, customers=twice))
+    assert len(passes) == 1
+    rows = enc.select("LoanID", "IsTest").collect()
+    assert len(rows) > len(want) and {(r.LoanID, r.IsTest) for r in rows} == set(want.items())
+
+
 def test_attributions_broadcast_plain_arrays(spark, monkeypatch):
     """Executors have numpy, not this package: no class of it may travel in a broadcast."""
     import pickletools
