@@ -406,6 +406,20 @@ def test_training_frame_derives_the_snapshots_once_and_splits_by_loans(spark, bo
     assert len(rows) > len(want) and {(r.LoanID, r.IsTest) for r in rows} == set(want.items())
 
 
+def test_dependence_bins_read_one_feature(spark, monkeypatch):
+    """The bins come from the top feature's values alone, not from the long form of all features."""
+    rows = spark.createDataFrame([(i, [float(i), float(i % 7)], [i / 10, -i / 5], 0.5) for i in range(200)],
+                                 "LoanID long, Values array<double>, Phis array<double>, BaseValue double")
+    want = X.dependence(X.long_form(rows, ["a", "b"]), "b", C.DEPENDENCE_BINS).collect()
+    monkeypatch.setattr(C, "forest", lambda *a: M.Fitted(None, ["a", "b"], "forest"))
+    monkeypatch.setattr(M, "importances", lambda *a: spark.createDataFrame([("a", 0.2), ("b", 0.8)], "Feature string, Importance double"))
+    monkeypatch.setattr(C, "_tree_phi", lambda *a: rows)
+    monkeypatch.setattr(X, "long_form", lambda *a: pytest.fail("exploded"))
+    got = C.REGISTRY_RAW["x4_dependence_bins"](spark, None).collect()
+    by_bin = lambda rs: {r.Bin: (pytest.approx(r.Value), pytest.approx(r.Phi), r.N) for r in rs}
+    assert len(got) == 7 and {r.Bin: (r.Value, r.Phi, r.N) for r in got} == by_bin(want)
+
+
 def test_attributions_broadcast_plain_arrays(spark, monkeypatch):
     """Executors have numpy, not this package: no class of it may travel in a broadcast."""
     import pickletools
