@@ -351,3 +351,25 @@ def test_one_hot_refuses_columns_without_bound(spark, monkeypatch):
     monkeypatch.setattr(FT, "MAX_LEVELS", 6)
     with pytest.raises(ValueError, match="x"):
         FT.fit_levels(df, ["x", "y"])
+
+
+def test_distances_are_compiled_and_equal_the_lambda_form(spark, monkeypatch):
+    rows = [([0.1 * i * j for j in range(7)], [i / (j + 3) for j in range(7)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    out = df.select(SM._sqdist(F.col("a"), F.col("b"), 7).alias("d"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.d for r in out.collect()]
+    monkeypatch.setattr(SM, "_WRITTEN_OUT", 6)
+    lambdas = df.select(SM._sqdist(F.col("a"), F.col("b"), 7).alias("d"))
+    assert "lambda" in lambdas._jdf.queryExecution().optimizedPlan().toString()
+    assert got == [r.d for r in lambdas.collect()]
+
+
+def test_oversampled_rows_are_stored_by_column(spark, monkeypatch):
+    rows = [(i, int(i < 10), float(i % 7), float(i % 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "LoanID long, DefaultFlag int, `x y` double, z double")
+    monkeypatch.setattr(CAT, "imputed_train", lambda spark, b: (df, ["x y", "z"]))
+    monkeypatch.setattr(CAT, "_cached", lambda spark, b, name, build: build())
+    out = CAT.resampled(spark, None)
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+    assert out.columns == ["LoanID", "DefaultFlag", "x y", "z", "Synthetic"] and out.count() == 100 + 27 - 10
