@@ -89,3 +89,20 @@ def test_edge_cases(odd_docs, no_docs):
     assert (got[got.doc_id == 2].n_removed == by.loc[1, "n_bytes"]).all() and len(got[got.doc_id == 2]) == 2
     assert by.loc[1, "n_removed"] == 0 and by.loc[3, "n_bytes"] == 0 and by.loc[10, "n_removed"] == 0
     assert 0 <= by.loc[8, "n_bytes"] - by.loc[8, "n_removed"] <= 50 and by.loc[7, "n_removed"] == 0
+
+
+def test_heads_of_one_anchor_are_dealt_by_all_their_bytes(spark):
+    """Heads that begin alike reach all slices; equal ones the same slice; ids of over 53 bits stay exact."""
+    rng = np.random.default_rng(11)
+    raws = [b"the" + bytes(rng.integers(97, 123, 60).astype(np.uint8)) for _ in range(400)]
+    which, offset = np.repeat(np.arange(400), 2), np.tile([0, 13], 400)
+    windows = S.window_bytes(raws, which, offset)
+    assert [w.tobytes() for w in windows] == [raws[i][k:k + 50] for i, k in zip(which, offset)]
+    h = S.window_hashes(windows[::2])
+    assert np.bincount((h % np.uint64(8)).astype(int), minlength=8).min() > 20
+    assert (S.window_hashes(windows[::2].copy()) == h).all() and len(np.unique(h)) == 400
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passage = " ".join(word() for _ in range(12))
+    docs = [((1 << 60) + int(i), f"{word()} {passage} {word()}") for i in rng.permutation(60)]
+    got = S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4).collect()
+    assert sorted(tuple(r) for r in got) == [(a, b, c, d, bytearray(e)) for a, b, c, d, e in brute(docs)]
